@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe
-from rasterloom.llm.common import table
+from rasterloom.llm import bpe, secrets, simhash, warc
+from rasterloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +24,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.resolved(warc.read(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_warc, op4_simhash, op8_secrets)}
+SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        d AS (SELECT *, sha1(html) AS digest FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keep FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, url,
+               CASE WHEN n >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND keep <> page_id THEN keep END AS refers_to
+        FROM w""",
+}
