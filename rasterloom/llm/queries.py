@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe, secrets, simhash, warc
+from rasterloom.llm import bpe, secrets, simhash, toxicity, warc
 from rasterloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_warc, op4_simhash, op8_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_warc, op4_simhash, op7_toxicity, op8_secrets)}
 SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
