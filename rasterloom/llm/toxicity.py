@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rasterloom.llm.common import texts
 
@@ -306,9 +307,7 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             score = machine.score(np.concatenate(best) if best else np.zeros(0))
             yield batch.append_column("score", pa.array(score, pa.float64()))
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add("score", DoubleType(), False))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
