@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe, secrets, simhash, toxicity, warc
+from rasterloom.llm import bpe, quality, secrets, simhash, toxicity, warc
 from rasterloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -43,8 +47,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_warc, op4_simhash, op7_toxicity, op8_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op7_toxicity, op8_secrets)}
 SQL: dict[str, str] = {
+    "op2_quality": quality.sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
         d AS (SELECT *, sha1(html) AS digest FROM p),
