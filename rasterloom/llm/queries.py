@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe, quality, secrets, simhash, toxicity, warc
+from rasterloom.llm import bpe, mixing, quality, secrets, simhash, spotsigs, toxicity, warc
 from rasterloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.realised(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op7_toxicity, op8_secrets)}
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_mixing, op7_toxicity, op8_secrets, op9_spotsigs)}
 SQL: dict[str, str] = {
     "op2_quality": quality.sql(),
     "op3_warc": """
