@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe, mixing, quality, secrets, simhash, spotsigs, toxicity, warc
+from rasterloom.llm import bpe, html, lm, mixing, quality, secrets, simhash, spotsigs, toxicity, warc
 from rasterloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.realised(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,11 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_mixing, op7_toxicity, op8_secrets, op9_spotsigs)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_mixing, op6_lm, op7_toxicity, op8_secrets, op9_spotsigs, op10_html)}
 SQL: dict[str, str] = {
     "op2_quality": quality.sql(),
     "op3_warc": """
