@@ -1,7 +1,70 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of five training-data operators, from raw documents to token ids.
+
+Each stage takes the session, the documents that the stage before it kept, and the folder of the
+input tables; what it returns is written as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
-PIPELINE: dict = {}
-PIPELINE_SQL: dict = {}
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rasterloom.llm import bpe, mixing, secrets, simhash, toxicity
+from rasterloom.llm.common import shared_dir, table
+from rasterloom.llm.queries import vocabulary
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id."""
+    return simhash.deduplicated(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    return secrets.redact(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once at least, those of small sources more often, to flatten the sources' weights."""
+    return mixing.repeated(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids_sha256, decoded_sha256`` of each row that the mix holds."""
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), keep=["source"])
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("simhash", without_copies),
+    ("secrets", without_secrets),
+    ("mixing", to_target_weights),
+    ("bpe", to_tokens),
+]
+#: Learning, fingerprints and merges aren't SQL; the tests hold each stage against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table ``documents``."""
+    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs
+
+
+PIPELINE = {"pipeline": run}
+PIPELINE_SQL = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rasterloom.llm.common import texts
 
@@ -293,8 +294,8 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document.
+def round_trip(docs: DataFrame, vocab_path: str, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document, and the columns ``keep`` as they were.
 
     Digests are of the decimal ids joined by commas, and of the text decoded from these ids. They
     are made where the ids are, so that no id leaves its worker.
@@ -304,12 +305,17 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
         bpe = loaded(vocab_path)
         digits = bpe.digits.__getitem__
         for batch in batches:
+            start = 0
             for keys, values in blocks(batch):
                 n, of_ids, of_text = [], [], []
                 for ids in bpe.encode_many(values):
                     n.append(len(ids))
                     of_ids.append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
                     of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_pydict({"doc_id": keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
+                kept = {c: batch.column(2 + k).slice(start, len(values)) for k, c in enumerate(keep or [])}
+                start += len(values)
+                yield pa.RecordBatch.from_pydict({"doc_id": keys, **kept, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
 
-    return texts(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = dict(docs.dtypes)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep or [])
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, " + "".join(f"`{c}` {kinds[c]}, " for c in keep or []) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
