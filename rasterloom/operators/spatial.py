@@ -45,16 +45,17 @@ def linear(domain: Domain) -> Column:
     return F.col("x") + domain.size[0] * (F.col("y") + domain.size[1] * F.col("z")).cast("bigint")
 
 
-# kernels of whole images: arrays with the axes z, y, x
+# kernels of whole images: arrays with the axes image, z, y, x
 def shifts(shape: tuple[int, ...]) -> Iterator[tuple[tuple[slice, ...], tuple[slice, ...]]]:
     """Pairs of views that are one step apart, for half of the steps to the box's neighbours."""
-    steps = np.array(np.meshgrid(*[[-1, 0, 1] if n > 1 else [0] for n in shape], indexing="ij")).reshape(len(shape), -1).T
+    choices = [[0], *([-1, 0, 1] if n > 1 else [0] for n in shape[1:])]
+    steps = np.array(np.meshgrid(*choices, indexing="ij")).reshape(len(shape), -1).T
     for step in steps[len(steps) // 2 + 1 :]:
         yield tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(step, shape)), tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(step, shape))
 
 
 def label_grid(grid: np.ndarray) -> np.ndarray:
-    """Component numbers of a mask, 0 outside; numbered by the first voxel in raster order.
+    """Component numbers of the masks, 0 outside; numbered in each image by the first voxel in raster order.
 
     Each voxel takes the least place among its neighbours, then the place that this one has taken,
     until nothing changes.
@@ -79,8 +80,10 @@ def label_grid(grid: np.ndarray) -> np.ndarray:
         if (label == old).all():
             break
     roots, number = np.unique(label[grid], return_inverse=True)
+    image = roots // grid[0].size
+    first = np.searchsorted(image, image)  # numbers begin at 1 in each image
     out = np.zeros(grid.shape, np.int64)
-    out[grid] = number + 1 if len(roots) else 0
+    out[grid] = (np.arange(len(roots)) - first + 1)[number]
     return out
 
 
@@ -95,7 +98,7 @@ def distance_grid(grid: np.ndarray, spacing: tuple[float, ...]) -> np.ndarray:
         outline[a] |= grid[a] & ~grid[b]
         outline[b] |= grid[b] & ~grid[a]
     square = np.where(outline, 0.0, np.inf)
-    for axis, step in enumerate(spacing):
+    for axis, step in enumerate(spacing, 1):
         n = grid.shape[axis]
         if n == 1:
             continue
@@ -112,8 +115,8 @@ def distance_grid(grid: np.ndarray, spacing: tuple[float, ...]) -> np.ndarray:
 def flow_grid(values: np.ndarray, step: float, rounds: int, spacing: tuple[float, ...]) -> np.ndarray:
     """Curvature flow: ``rounds`` explicit steps by mean curvature, edges repeated beyond the border."""
     v = values.astype(float)
-    axes = [k for k, n in enumerate(v.shape) if n > 1]
-    h = [s for s in spacing]
+    axes = [k for k, n in enumerate(v.shape) if k and n > 1]
+    h = [0.0, *spacing]
     for _ in range(rounds):
         wide = np.pad(v, [(1, 1) if k in axes else (0, 0) for k in range(v.ndim)], mode="edge")
 
@@ -135,19 +138,38 @@ def flow_grid(values: np.ndarray, step: float, rounds: int, spacing: tuple[float
 
 
 def per_image(voxels: DataFrame, value: Column, domain: Domain, kernel: Callable[[np.ndarray], np.ndarray], out: str, kind: str) -> DataFrame:
-    """``voxels`` with what ``kernel`` makes of each image's grid of values; the images must be whole."""
+    """``voxels`` with what ``kernel`` makes of the images' grids of values; an image must fit a task.
+
+    Images are dealt out whole and sorted by id, so a task takes those of a batch together: the
+    kernel works on all of them at once, and holds one batch and one image at most.
+    """
     size = domain.size
     rows = voxels.withColumn("_in", value.cast("double"))
     names = [f"`{c}` {t}" for c, t in rows.drop("_in").dtypes if c != out]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros(size[::-1])
-        at = (part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy())
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        image = pd.factorize(part["image_id"], use_na_sentinel=False)[0]
+        grid = np.zeros((image.max() + 1, *size[::-1]))
+        at = (image, part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy())
         grid[at] = part["_in"].to_numpy()
-        part[out] = kernel(grid)[at]
-        return part.drop(columns="_in")
-
-    return rows.groupBy("image_id").applyInPandas(run, ", ".join([*names, f"`{out}` {kind}"]))
+        return part.drop(columns=["_in", out], errors="ignore").assign(**{out: kernel(grid)[at]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last image so far, which may go on
+        for part in batches:
+            if not len(part):
+                continue
+            last = part["image_id"].iloc[-1]
+            whole = part["image_id"].to_numpy() != last
+            cut = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
+            if cut or held and held[-1]["image_id"].iloc[-1] != last:
+                yield made(pd.concat([*held, part.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(part.iloc[cut:])
+        if held:
+            yield made(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("image_id").sortWithinPartitions("image_id").mapInPandas(run, ", ".join([*names, f"`{out}` {kind}"]))
 
 
 def dt(voxels: DataFrame, mask: Column, domain: Domain, out: str = "dt") -> DataFrame:

@@ -61,57 +61,59 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-V = F.col("v")
+def V() -> Column:  # noqa: N802
+    """The value of a voxel; made where a query is, since columns need a session."""
+    return F.col("v")
 
 
-def pointwise(name: str, value: Column, sql: str, digits: int | None = 6, source: str = "px", of: Callable = images) -> None:
+def pointwise(name: str, value: Callable[[], Column], sql: str, digits: int | None = 6, source: str = "px", of: Callable = images) -> None:
     """Register a query of one expression over voxels, ``out``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return of(spark, sf_dir).select("image_id", "x", "y", (F.round(value, digits) if digits is not None else value).alias("out"))
+        return of(spark, sf_dir).select("image_id", "x", "y", (F.round(value(), digits) if digits is not None else value()).alias("out"))
 
     run.__name__ = name
     out = f"round(({sql})::DOUBLE, {digits})" if digits is not None else sql
     query(f"WITH {PX if source == 'px' else PAIR} SELECT image_id, x, y, {out} AS out FROM {source}")(run)
 
 
-pointwise("voxel_scan", V, "v")
-pointwise("voxel_add_vs", voxel.add_vs(V, 0.5), "v + 0.5")
-pointwise("voxel_sub_vs", voxel.sub_vs(V, 0.5), "v - 0.5")
-pointwise("voxel_mul_vs", voxel.mul_vs(V, 3.0), "v * 3.0")
-pointwise("voxel_div_vs", voxel.div_vs(V, 4.0), "v * (1 / 4.0)")
-pointwise("voxel_sub_sv", voxel.sub_sv(2.0, V), "2.0 - v")
-pointwise("voxel_div_sv", voxel.div_sv(2.0, V + 3), "2.0 / (v + 3)")
-pointwise("voxel_abs", voxel.absolute(V), "abs(v)")
-pointwise("voxel_constant", voxel.constant(7), "7.0")
-pointwise("voxel_arith_vv", (F.col("a") + F.col("b")) * F.col("a") - F.col("b"), "(a + b) * a - b", source="pr", of=pairs)
-pointwise("voxel_div_vv", voxel.divide(F.col("a"), F.col("b") + 2), "a / (b + 2)", source="pr", of=pairs)
-pointwise("voxel_mask", voxel.masked(V, V > 0.1), "CASE WHEN v > 0.1 THEN v ELSE 0 END")
-pointwise("voxel_eq_sv", voxel.eq_sv(0.0, F.round(V, 1)), "round(v, 1) = 0", None)
-pointwise("voxel_geq_sv", voxel.geq_sv(0.1, V), "v >= 0.1", None)
-pointwise("voxel_leq_sv", voxel.leq_sv(0.1, V), "v <= 0.1", None)
-pointwise("voxel_between", voxel.between(-0.1, 0.1, V), "v BETWEEN -0.1 AND 0.1", None)
-pointwise("voxel_compare_vv", (F.col("a") < F.col("b")) & (F.col("a") != F.col("b")) | (F.col("a") >= F.col("b") + 0.1), "a < b AND a <> b OR a >= b + 0.1", None, "pr", pairs)
-pointwise("mask_and_or_not", voxel.or_(voxel.and_(V > 0, V < 0.1), voxel.not_(V > -0.1)), "v > 0 AND v < 0.1 OR NOT v > -0.1", None)
-pointwise("mask_difference", derived.difference(V > 0, V > 0.1), "v > 0 AND NOT v > 0.1", None)
-pointwise("mask_xor", derived.xor(F.col("a") > 0, F.col("b") > 0), "(a > 0) <> (b > 0)", None, "pr", pairs)
-pointwise("mask_constants", voxel.tt() & ~voxel.ff() & voxel.bconstant(True), "true", None)
-pointwise("voxel_border", voxel.border(GRID), "x IN (0, 7) OR y IN (0, 7)", None)
-pointwise("voxel_coords", voxel.coordinate("x") + 10 * voxel.coordinate("y") + 100 * voxel.coordinate("z"), "x + 10 * y")
-pointwise("voxel_div_z", voxel.div_z(V, F.round(V, 1), -1.0), "CASE WHEN round(v, 1) = 0 THEN -1 ELSE v / round(v, 1) END")
-pointwise("voxel_if", voxel.if_(V > 0, V, -V), "CASE WHEN v > 0 THEN v ELSE -v END")
-pointwise("voxel_if_scalar", voxel.if_(F.lit(True), V, -V), "v")
-pointwise("boolean_to_number", derived.boolean_to_number(V > 0, 5), "CASE WHEN v > 0 THEN 5 ELSE 0 END")
-pointwise("threshold_equal", voxel.threshold_equal(F.round(V, 1), 0.1, 9.0, 2.0), "CASE WHEN round(v, 1) = 0.1 THEN 9 ELSE 2 END")
-pointwise("binary_threshold", voxel.binary_threshold(V, 0.0, 0.1, 255, 3), "CASE WHEN v BETWEEN 0 AND 0.1 THEN 255 ELSE 3 END", None)
-pointwise("vector_intensity", voxel.intensity(voxel.rgb(V, V * 2, V * 3)), "0.2126 * v + 0.7152 * (v * 2) + 0.0722 * (v * 3)")
-pointwise("vector_components", voxel.component(voxel.rgb(V, V * 2, V * 3), 0) + voxel.component(voxel.rgb(V, V * 2, V * 3), 1) * 10 + voxel.component(voxel.rgb(V, V * 2, V * 3), 2) * 100, "v + v * 20 + v * 300")
-pointwise("vector_alpha", voxel.alpha(voxel.rgb(V, V, V)) + voxel.alpha(voxel.rgba(V, V, V, V * 2)), "255 + v * 2")
-pointwise("overlay_color", derived.overlay_color(V > 0, F.lit(200.0), V), "CASE WHEN v > 0 THEN 200 ELSE v END")
-pointwise("geom_circle", geometry.circle(V, 3, 4, 2.5, 200), "CASE WHEN (x - 3) * (x - 3) + (y - 4) * (y - 4) <= 6.25 THEN 200 ELSE v END")
+pointwise("voxel_scan", lambda: V(), "v")
+pointwise("voxel_add_vs", lambda: voxel.add_vs(V(), 0.5), "v + 0.5")
+pointwise("voxel_sub_vs", lambda: voxel.sub_vs(V(), 0.5), "v - 0.5")
+pointwise("voxel_mul_vs", lambda: voxel.mul_vs(V(), 3.0), "v * 3.0")
+pointwise("voxel_div_vs", lambda: voxel.div_vs(V(), 4.0), "v * (1 / 4.0)")
+pointwise("voxel_sub_sv", lambda: voxel.sub_sv(2.0, V()), "2.0 - v")
+pointwise("voxel_div_sv", lambda: voxel.div_sv(2.0, V() + 3), "2.0 / (v + 3)")
+pointwise("voxel_abs", lambda: voxel.absolute(V()), "abs(v)")
+pointwise("voxel_constant", lambda: voxel.constant(7), "7.0")
+pointwise("voxel_arith_vv", lambda: (F.col("a") + F.col("b")) * F.col("a") - F.col("b"), "(a + b) * a - b", source="pr", of=pairs)
+pointwise("voxel_div_vv", lambda: voxel.divide(F.col("a"), F.col("b") + 2), "a / (b + 2)", source="pr", of=pairs)
+pointwise("voxel_mask", lambda: voxel.masked(V(), V() > 0.1), "CASE WHEN v > 0.1 THEN v ELSE 0 END")
+pointwise("voxel_eq_sv", lambda: voxel.eq_sv(0.0, F.round(V(), 1)), "round(v, 1) = 0", None)
+pointwise("voxel_geq_sv", lambda: voxel.geq_sv(0.1, V()), "v >= 0.1", None)
+pointwise("voxel_leq_sv", lambda: voxel.leq_sv(0.1, V()), "v <= 0.1", None)
+pointwise("voxel_between", lambda: voxel.between(-0.1, 0.1, V()), "v BETWEEN -0.1 AND 0.1", None)
+pointwise("voxel_compare_vv", lambda: (F.col("a") < F.col("b")) & (F.col("a") != F.col("b")) | (F.col("a") >= F.col("b") + 0.1), "a < b AND a <> b OR a >= b + 0.1", None, "pr", pairs)
+pointwise("mask_and_or_not", lambda: voxel.or_(voxel.and_(V() > 0, V() < 0.1), voxel.not_(V() > -0.1)), "v > 0 AND v < 0.1 OR NOT v > -0.1", None)
+pointwise("mask_difference", lambda: derived.difference(V() > 0, V() > 0.1), "v > 0 AND NOT v > 0.1", None)
+pointwise("mask_xor", lambda: derived.xor(F.col("a") > 0, F.col("b") > 0), "(a > 0) <> (b > 0)", None, "pr", pairs)
+pointwise("mask_constants", lambda: voxel.tt() & ~voxel.ff() & voxel.bconstant(True), "true", None)
+pointwise("voxel_border", lambda: voxel.border(GRID), "x IN (0, 7) OR y IN (0, 7)", None)
+pointwise("voxel_coords", lambda: voxel.coordinate("x") + 10 * voxel.coordinate("y") + 100 * voxel.coordinate("z"), "x + 10 * y")
+pointwise("voxel_div_z", lambda: voxel.div_z(V(), F.round(V(), 1), -1.0), "CASE WHEN round(v, 1) = 0 THEN -1 ELSE v / round(v, 1) END")
+pointwise("voxel_if", lambda: voxel.if_(V() > 0, V(), -V()), "CASE WHEN v > 0 THEN v ELSE -v END")
+pointwise("voxel_if_scalar", lambda: voxel.if_(F.lit(True), V(), -V()), "v")
+pointwise("boolean_to_number", lambda: derived.boolean_to_number(V() > 0, 5), "CASE WHEN v > 0 THEN 5 ELSE 0 END")
+pointwise("threshold_equal", lambda: voxel.threshold_equal(F.round(V(), 1), 0.1, 9.0, 2.0), "CASE WHEN round(v, 1) = 0.1 THEN 9 ELSE 2 END")
+pointwise("binary_threshold", lambda: voxel.binary_threshold(V(), 0.0, 0.1, 255, 3), "CASE WHEN v BETWEEN 0 AND 0.1 THEN 255 ELSE 3 END", None)
+pointwise("vector_intensity", lambda: voxel.intensity(voxel.rgb(V(), V() * 2, V() * 3)), "0.2126 * v + 0.7152 * (v * 2) + 0.0722 * (v * 3)")
+pointwise("vector_components", lambda: voxel.component(voxel.rgb(V(), V() * 2, V() * 3), 0) + voxel.component(voxel.rgb(V(), V() * 2, V() * 3), 1) * 10 + voxel.component(voxel.rgb(V(), V() * 2, V() * 3), 2) * 100, "v + v * 20 + v * 300")
+pointwise("vector_alpha", lambda: voxel.alpha(voxel.rgb(V(), V(), V())) + voxel.alpha(voxel.rgba(V(), V(), V(), V() * 2)), "255 + v * 2")
+pointwise("overlay_color", lambda: derived.overlay_color(V() > 0, F.lit(200.0), V()), "CASE WHEN v > 0 THEN 200 ELSE v END")
+pointwise("geom_circle", lambda: geometry.circle(V(), 3, 4, 2.5, 200), "CASE WHEN (x - 3) * (x - 3) + (y - 4) * (y - 4) <= 6.25 THEN 200 ELSE v END")
 _TURN, _HALF = "(2 * pi() / 5)", "(pi() / 5)"
 _FOLD = f"(((atan2(y - 3.3, x - 3.1) + pi()) % {_TURN}) - {_HALF})"
-pointwise("geom_polygon", geometry.regular_polygon(V, 3.1, 3.3, 3.2, 5, 150), f"CASE WHEN sqrt((x - 3.1) * (x - 3.1) + (y - 3.3) * (y - 3.3)) <= 3.2 * cos({_HALF}) / greatest(cos({_FOLD}), 1e-9) THEN 150 ELSE v END")
+pointwise("geom_polygon", lambda: geometry.regular_polygon(V(), 3.1, 3.3, 3.2, 5, 150), f"CASE WHEN sqrt((x - 3.1) * (x - 3.1) + (y - 3.3) * (y - 3.3)) <= 3.2 * cos({_HALF}) / greatest(cos({_FOLD}), 1e-9) THEN 150 ELSE v END")
 
 
 @query("SELECT 0::BIGINT AS image_id, x, y, 5.0::DOUBLE AS v FROM (SELECT unnest(range(6))::INT AS y), (SELECT unnest(range(4))::INT AS x)")
@@ -132,17 +134,17 @@ def img_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PX} SELECT image_id, round(avg(v) FILTER (WHERE v > 0), 6) AS avg FROM px GROUP BY image_id")
 def avg_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.average(images(spark, sf_dir), V, V > 0).withColumn("avg", F.round("avg", 6))
+    return stats.average(images(spark, sf_dir), V(), V() > 0).withColumn("avg", F.round("avg", 6))
 
 
 @query(f"WITH {PX} SELECT image_id, round(coalesce(avg(v) FILTER (WHERE v > 0.3), 0), 6) AS avg FROM px GROUP BY image_id")
 def avg0_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.average(images(spark, sf_dir), V, V > 0.3, empty=0).withColumn("avg", F.round("avg", 6))
+    return stats.average(images(spark, sf_dir), V(), V() > 0.3, empty=0).withColumn("avg", F.round("avg", 6))
 
 
 @query(f"WITH {PX} SELECT image_id, (count(*) FILTER (WHERE v > 0.1))::DOUBLE AS volume FROM px GROUP BY image_id")
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.volume(images(spark, sf_dir), V > 0.1)
+    return stats.volume(images(spark, sf_dir), V() > 0.1)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -165,18 +167,18 @@ def array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PX} SELECT image_id, 0.1::DOUBLE AS value, count(*) FILTER (WHERE round(v, 1) = 0.1) AS count, count(*) AS total,
     round(100.0 * (count(*) FILTER (WHERE round(v, 1) = 0.1)) / count(*), 6) AS percentage FROM px GROUP BY image_id""")
 def count_pixels_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.count_pixels(images(spark, sf_dir), F.round(V, 1), 0.1))
+    return rounded(stats.count_pixels(images(spark, sf_dir), F.round(V(), 1), 0.1))
 
 
 @query(f"""WITH {PX}, c AS (SELECT image_id, (floor(v * 10))::BIGINT AS value, count(*) AS count FROM px GROUP BY ALL)
     SELECT image_id, value, count, round(100.0 * count / sum(count) OVER (PARTITION BY image_id), 6) AS percentage FROM c""")
 def count_pixels_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.count_pixels(images(spark, sf_dir), F.floor(V * 10)))
+    return rounded(stats.count_pixels(images(spark, sf_dir), F.floor(V() * 10)))
 
 
 @query(f"WITH {PX} SELECT image_id, x, y, round(100 * v / max(v) OVER (PARTITION BY image_id), 6) AS out FROM px")
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(spark, sf_dir).select("image_id", "x", "y", F.round(derived.norm(V, 100.0), 6).alias("out"))
+    return grouped(spark, sf_dir).select("image_id", "x", "y", F.round(derived.norm(V(), 100.0), 6).alias("out"))
 
 
 @query(f"""WITH {PX}, e AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id))
@@ -184,7 +186,7 @@ def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescale_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = Window.partitionBy("image_id")
     low, high = F.min("v").over(of), F.max("v").over(of)
-    return grouped(spark, sf_dir).select("image_id", "x", "y", F.round((V - low) * F.try_divide(F.lit(255.0), high - low), 6).alias("out"))
+    return grouped(spark, sf_dir).select("image_id", "x", "y", F.round((V() - low) * F.try_divide(F.lit(255.0), high - low), 6).alias("out"))
 
 
 def _rank_sql(ties: float) -> str:
@@ -194,7 +196,7 @@ def _rank_sql(ties: float) -> str:
 def _percentiles(ties: float) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = grouped(spark, sf_dir)
-        return rows.select("image_id", "x", "y", F.round(stats.percentiles(rows, V, V > 0, ties), 6).alias("out"))
+        return rows.select("image_id", "x", "y", F.round(stats.percentiles(rows, V(), V() > 0, ties), 6).alias("out"))
 
     run.__name__ = f"percentiles_c{str(ties).replace('.', '').rstrip('0') or '0'}"
     sql = f"""WITH {PX}, r AS (SELECT image_id, x, y, {_rank_sql(ties)} AS p FROM px WHERE v > 0)
@@ -280,10 +282,13 @@ def spatially(name: str, sql: str, make: Callable[[DataFrame], DataFrame], kind:
     query(sql)(run)
 
 
-M = V > 0.05
-spatially("near", f"WITH {PX} SELECT image_id, x, y, {_near_sql('n.v > 0.05')} AS out FROM px p", lambda d: spatial.near(d, M, GRID, "out"))
-spatially("interior", f"WITH {PX} SELECT image_id, x, y, NOT {_near_sql('NOT n.v > 0.05')} AS out FROM px p", lambda d: spatial.interior(d, M, GRID, "out"))
-spatially("ext_boundary", f"WITH {PX} SELECT image_id, x, y, NOT v > 0.05 AND {_near_sql('n.v > 0.05')} AS out FROM px p", lambda d: derived.external_boundary(d, M, GRID, "out"))
+def M() -> Column:  # noqa: N802
+    return V() > 0.05
+
+
+spatially("near", f"WITH {PX} SELECT image_id, x, y, {_near_sql('n.v > 0.05')} AS out FROM px p", lambda d: spatial.near(d, M(), GRID, "out"))
+spatially("interior", f"WITH {PX} SELECT image_id, x, y, NOT {_near_sql('NOT n.v > 0.05')} AS out FROM px p", lambda d: spatial.interior(d, M(), GRID, "out"))
+spatially("ext_boundary", f"WITH {PX} SELECT image_id, x, y, NOT v > 0.05 AND {_near_sql('n.v > 0.05')} AS out FROM px p", lambda d: derived.external_boundary(d, M(), GRID, "out"))
 
 
 def _components(mask: str, name: str = "c") -> str:
@@ -301,34 +306,37 @@ def _touched(sql: str) -> str:
 
 _IN_H = "EXISTS (SELECT 1 FROM h WHERE h.image_id = p.image_id AND h.x = p.x AND h.y = p.y)"
 _NEAR_H = "EXISTS (SELECT 1 FROM h WHERE h.image_id = p.image_id AND abs(h.x - p.x) <= 1 AND abs(h.y - p.y) <= 1)"
-C = V > 0.08
+def C() -> Column:  # noqa: N802
+    return V() > 0.08
+
+
 spatially(
     "lcc",
     f"""WITH RECURSIVE {PX}, {_components('v > 0.08')}, n AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM c)
     SELECT px.image_id, px.x, px.y, coalesce(label, 0) AS out FROM px LEFT JOIN n USING (image_id, x, y)""",
-    lambda d: spatial.lcc(d, C, GRID, "out"),
+    lambda d: spatial.lcc(d, C(), GRID, "out"),
     "bigint",
 )
-spatially("through", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched('p.v > 0.2')} SELECT image_id, x, y, {_IN_H} AS out FROM px p", lambda d: spatial.through(d, V > 0.2, C, GRID, "out"))
+spatially("through", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched('p.v > 0.2')} SELECT image_id, x, y, {_IN_H} AS out FROM px p", lambda d: spatial.through(d, V() > 0.2, C(), GRID, "out"))
 spatially(
     "maxvol",
     f"""WITH RECURSIVE {PX}, {_components('v > 0.08')}, s AS (SELECT image_id, root, rank() OVER (PARTITION BY image_id ORDER BY count(*) DESC) AS k FROM c GROUP BY image_id, root),
     h AS (SELECT c.image_id, c.x, c.y FROM c JOIN s USING (image_id, root) WHERE k = 1) SELECT image_id, x, y, {_IN_H} AS out FROM px p""",
-    lambda d: spatial.maxvol(d, C, GRID, "out"),
+    lambda d: spatial.maxvol(d, C(), GRID, "out"),
 )
 _TOUCH = _near_sql("n.v < -0.2")
-spatially("touch", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched(_TOUCH)} SELECT image_id, x, y, {_IN_H} AS out FROM px p", lambda d: derived.touch(d, C, V < -0.2, GRID, "out"))
-spatially("grow", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched(_TOUCH)} SELECT image_id, x, y, v < -0.2 OR {_IN_H} AS out FROM px p", lambda d: derived.grow(d, V < -0.2, C, GRID, "out"))
+spatially("touch", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched(_TOUCH)} SELECT image_id, x, y, {_IN_H} AS out FROM px p", lambda d: derived.touch(d, C(), V() < -0.2, GRID, "out"))
+spatially("grow", f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched(_TOUCH)} SELECT image_id, x, y, v < -0.2 OR {_IN_H} AS out FROM px p", lambda d: derived.grow(d, V() < -0.2, C(), GRID, "out"))
 spatially(
     "may_reach",
     f"WITH RECURSIVE {PX}, {_components('v > 0.08')}, {_touched(_TOUCH)} SELECT image_id, x, y, {_TOUCH} OR {_NEAR_H} AS out FROM px p",
-    lambda d: derived.may_reach(d, V < -0.2, C, GRID, "out"),
+    lambda d: derived.may_reach(d, V() < -0.2, C(), GRID, "out"),
 )
 _OUT = _near_sql("NOT (n.v > 0.05 OR n.v < -0.05)")
 spatially(
     "surrounded",
     f"WITH RECURSIVE {PX}, {_components('NOT v < -0.05')}, {_touched(_OUT)} SELECT image_id, x, y, v > 0.05 AND NOT ({_OUT} OR {_NEAR_H}) AS out FROM px p",
-    lambda d: derived.surrounded(d, V > 0.05, V < -0.05, GRID, "out"),
+    lambda d: derived.surrounded(d, V() > 0.05, V() < -0.05, GRID, "out"),
 )
 
 
@@ -336,7 +344,7 @@ spatially(
     f AS (SELECT p.image_id, min(coalesce(label, 0)) AS lo, max(coalesce(label, 0)) AS hi FROM px p LEFT JOIN n USING (image_id, x, y) WHERE p.v > 0.25 GROUP BY p.image_id)
     SELECT image_id, lo AS min_cc, hi AS max_cc, coalesce(lo = hi AND lo > 0, true) AS collected FROM (SELECT DISTINCT image_id FROM px) LEFT JOIN f USING (image_id)""")
 def collect_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.collect_cc(grouped(spark, sf_dir), V > 0.25, C, GRID)
+    return derived.collect_cc(grouped(spark, sf_dir), V() > 0.25, C(), GRID)
 
 
 # distances: to the outline, whose voxels have a neighbour outside of the mask
@@ -348,21 +356,24 @@ def _dt(mask: str, source: str = "px", name: str = "d") -> str:
         FROM {name}_m p LEFT JOIN {name}_o o ON o.image_id = p.image_id GROUP BY ALL)"""
 
 
-D = V > 0.1
-spatially("dt", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(d, 6) AS out FROM d", lambda d: spatial.dt(d, D, GRID, "out"), "double")
-spatially("pdt", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(greatest(d, 0), 6) AS out FROM d", lambda d: derived.pdt(d, D, GRID, "out"), "double")
-spatially("dist_leq", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, d <= 1.5 AS out FROM d", lambda d: derived.dist_leq(d, 1.5, D, GRID, "out"))
-spatially("dist_geq", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, greatest(d, 0) >= 1.5 AS out FROM d", lambda d: derived.dist_geq(d, 1.5, D, GRID, "out"))
-spatially("erode", f"WITH {PX}, {_dt('NOT v > -0.1')} SELECT image_id, x, y, d > 1 AS out FROM d", lambda d: derived.erode(d, V > -0.1, 1.0, GRID, "out"))
-spatially("dilate", f"WITH {PX}, {_dt('v > 0.2')} SELECT image_id, x, y, d <= 1.5 AS out FROM d", lambda d: derived.dilate(d, V > 0.2, 1.5, GRID, "out"))
-spatially("smoothen", f"WITH {PX}, {_dt('NOT v > -0.1')}, k AS (SELECT image_id, x, y, greatest(d, 0) >= 1 AS keep FROM d), {_dt('keep', 'k', 'f')} SELECT image_id, x, y, d <= 1 AS out FROM f", lambda d: derived.smoothen(d, V > -0.1, 1.0, GRID, "out"))
-spatially("open", f"WITH {PX}, {_dt('NOT v > -0.1')}, k AS (SELECT image_id, x, y, d > 1 AS keep FROM d), {_dt('keep', 'k', 'f')} SELECT image_id, x, y, d <= 1 AS out FROM f", lambda d: derived.imopen(d, V > -0.1, 1.0, GRID, "out"))
-spatially("close", f"WITH {PX}, {_dt('v > 0.1')}, k AS (SELECT image_id, x, y, d <= 1 AS keep FROM d), {_dt('NOT keep', 'k', 'f')} SELECT image_id, x, y, d > 1 AS out FROM f", lambda d: derived.imclose(d, D, 1.0, GRID, "out"))
+def D() -> Column:  # noqa: N802
+    return V() > 0.1
+
+
+spatially("dt", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(d, 6) AS out FROM d", lambda d: spatial.dt(d, D(), GRID, "out"), "double")
+spatially("pdt", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(greatest(d, 0), 6) AS out FROM d", lambda d: derived.pdt(d, D(), GRID, "out"), "double")
+spatially("dist_leq", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, d <= 1.5 AS out FROM d", lambda d: derived.dist_leq(d, 1.5, D(), GRID, "out"))
+spatially("dist_geq", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, greatest(d, 0) >= 1.5 AS out FROM d", lambda d: derived.dist_geq(d, 1.5, D(), GRID, "out"))
+spatially("erode", f"WITH {PX}, {_dt('NOT v > -0.1')} SELECT image_id, x, y, d > 1 AS out FROM d", lambda d: derived.erode(d, V() > -0.1, 1.0, GRID, "out"))
+spatially("dilate", f"WITH {PX}, {_dt('v > 0.2')} SELECT image_id, x, y, d <= 1.5 AS out FROM d", lambda d: derived.dilate(d, V() > 0.2, 1.5, GRID, "out"))
+spatially("smoothen", f"WITH {PX}, {_dt('NOT v > -0.1')}, k AS (SELECT image_id, x, y, greatest(d, 0) >= 1 AS keep FROM d), {_dt('keep', 'k', 'f')} SELECT image_id, x, y, d <= 1 AS out FROM f", lambda d: derived.smoothen(d, V() > -0.1, 1.0, GRID, "out"))
+spatially("open", f"WITH {PX}, {_dt('NOT v > -0.1')}, k AS (SELECT image_id, x, y, d > 1 AS keep FROM d), {_dt('keep', 'k', 'f')} SELECT image_id, x, y, d <= 1 AS out FROM f", lambda d: derived.imopen(d, V() > -0.1, 1.0, GRID, "out"))
+spatially("close", f"WITH {PX}, {_dt('v > 0.1')}, k AS (SELECT image_id, x, y, d <= 1 AS keep FROM d), {_dt('NOT keep', 'k', 'f')} SELECT image_id, x, y, d > 1 AS out FROM f", lambda d: derived.imclose(d, D(), 1.0, GRID, "out"))
 spatially(
     "gradient",
     f"""WITH {PX}, g AS (SELECT image_id, x, y, (coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / 2 AS gx, (coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v)) / 2 AS gy
     FROM px WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)) SELECT image_id, x, y, round(sqrt(gx * gx + gy * gy), 6) AS out FROM g""",
-    lambda d: spatial.gradient(d, V, GRID, "out"),
+    lambda d: spatial.gradient(d, V(), GRID, "out"),
     "double",
 )
 
@@ -370,7 +381,7 @@ spatially(
 @query()
 def curvature_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterated stencil; the tests hold it against a plain loop."""
-    return spatial.curvature_flow(grouped(spark, sf_dir), V, GRID, 0.05, 3, "out").select("image_id", "x", "y", F.round("out", 6).alias("out"))
+    return spatial.curvature_flow(grouped(spark, sf_dir), V(), GRID, 0.05, 3, "out").select("image_id", "x", "y", F.round("out", 6).alias("out"))
 
 
 @query(f"""WITH {PX}, f AS (SELECT image_id, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WHERE v > -0.2 WINDOW w AS (PARTITION BY image_id)),
@@ -382,7 +393,7 @@ def curvature_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT image_id, lo + (k + 1) * ((hi - lo) / 16) AS threshold, row_number() OVER (PARTITION BY image_id ORDER BY g DESC, k) AS place FROM g)
     SELECT image_id, round(threshold, 6) AS threshold FROM t WHERE place = 1""")
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.otsu(images(spark, sf_dir), "v", V > -0.2, 16))
+    return rounded(stats.otsu(images(spark, sf_dir), "v", V() > -0.2, 16))
 
 
 @query(f"""WITH {PX}, l AS (SELECT image_id, x, y, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id)),
@@ -395,14 +406,14 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = Window.partitionBy("image_id")
     rows = grouped(spark, sf_dir).withColumns({"lo": F.min("v").over(of), "hi": F.max("v").over(of)})
-    return stats.cross_correlation(rows, GRID, 1.0, V, V, V > 0, F.col("lo"), F.col("hi"), 4, "out").select("image_id", "x", "y", F.round("out", 6).alias("out"))
+    return stats.cross_correlation(rows, GRID, 1.0, V(), V(), V() > 0, F.col("lo"), F.col("hi"), 4, "out").select("image_id", "x", "y", F.round("out", 6).alias("out"))
 
 
 @query(f"""WITH {PX} SELECT image_id, count(*) FILTER (WHERE v > 0.1 AND NOT v > 0) = 0 AS included, count(*) FILTER (WHERE (v > 0.1) <> (v > 0)) = 0 AS equal,
     count(*) FILTER (WHERE (v > 0.1) <> (v > 0)) > 0 AS differ, count(*) FILTER (WHERE v > 0.4) = 0 AS empty FROM px GROUP BY image_id""")
 def mask_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grouped(spark, sf_dir)
-    parts = [derived.leq_b(rows, V > 0.1, V > 0), derived.eq_b(rows, V > 0.1, V > 0), derived.neq_b(rows, V > 0.1, V > 0), derived.empty_b(rows, V > 0.4)]
+    parts = [derived.leq_b(rows, V() > 0.1, V() > 0), derived.eq_b(rows, V() > 0.1, V() > 0), derived.neq_b(rows, V() > 0.1, V() > 0), derived.empty_b(rows, V() > 0.4)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "image_id")
@@ -418,18 +429,21 @@ def mask_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank inside a mask, take seeds and a looser mask, grow the one in the other, and measure, for each image."""
     rows = grouped(spark, sf_dir)
-    rows = rows.withColumn("p", stats.percentiles(rows, V, V > 0, 0.0))
+    rows = rows.withColumn("p", stats.percentiles(rows, V(), V() > 0, 0.0))
     rows = derived.grow(rows, F.col("p") >= 0.93, F.col("p") >= 0.7, GRID, "grown")
     return rows.groupBy("image_id").agg(F.count_if(F.col("p") >= 0.93).cast("double").alias("vol_seed"), F.count_if("grown").cast("double").alias("vol_grown"))
 
 
 # sequences: the items of a vector, the lines of an order by number, the turns of a conversation
-E = F.transform("embedding", lambda x: x.cast("double"))
+def E() -> Column:  # noqa: N802
+    return F.transform("embedding", lambda x: x.cast("double"))
+
+
 SEQ = "s AS (SELECT vec_id AS seq_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), E.alias("a"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), E().alias("a"))
 
 
 def arrays(name: str, value: Callable[[Column], Column], sql: str, digits: int | None = None) -> None:
@@ -442,12 +456,12 @@ def arrays(name: str, value: Callable[[Column], Column], sql: str, digits: int |
 
 
 def joined(a: Column) -> Column:
-    """An array as text with six digits of each item."""
-    return F.array_join(F.transform(a, lambda x: F.format_string("%.6f", x)), " ")
+    """An array as text, in millionths."""
+    return F.array_join(F.transform(a, lambda x: F.round(x * 1000000).cast("bigint")), " ")
 
 
 def _joined(sql: str) -> str:
-    return f"array_to_string(list_transform({sql}, lambda x: printf('%.6f', x)), ' ')"
+    return f"array_to_string(list_transform({sql}, lambda x: round(x * 1000000)::BIGINT), ' ')"
 
 
 arrays("seq_map", lambda a: joined(sequence.mapped(a, lambda x: x * 2 + 1)), _joined("list_transform(a, lambda x: x * 2 + 1)"))
@@ -482,11 +496,11 @@ def rows_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.table_argmax(rows, ["l_orderkey"])
 
 
-@query("""SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total, min(l_quantity) AS least, max(l_quantity) AS most, bool_and(l_quantity > 5) AS all_large,
+@query("""SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, min(l_quantity) AS least, max(l_quantity) AS most, bool_and(l_quantity > 5) AS all_large,
     bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY l_orderkey""")
 def rows_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("total"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.bool_and(F.col("l_quantity") > 5).alias("all_large"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
+    return rows.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("total"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.bool_and(F.col("l_quantity") > 5).alias("all_large"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
 
 
 @query("""SELECT idx, o_orderkey AS value FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_totalprice > 100000) WHERE idx BETWEEN 100 AND 299""")
