@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import strings
 from rasterloom.model import VOXEL, Domain
-from rasterloom.operators import derived, geometry, sequence, spatial, stats, voxel
+from rasterloom.operators import cases, derived, geometry, sequence, spatial, stats, voxel
 from rasterloom.plans.engine import Closure, Engine, Frame, Generator, Image, PRIMITIVES, both, by_image, column, divided, either, extended, frame_of, needing, negated, pointwise, primitive
 from rasterloom.plans.syntax import LanguageError
 from rasterloom.sources import files
@@ -407,6 +407,52 @@ primitive("test:impure", 1)(lambda x: (print(x), x)[1])
 primitive("test:demo_data", 0, None)(lambda *_: {"name": "demo", "values": [1, 2, 3], "nested": {"flag": True}})
 
 
+# models; the trainer and predictor of programs are set by the embedding application
+TRAINERS: dict[str, Any] = {}
+
+
+def _labelled(checked: list) -> DataFrame:
+    """Voxels of all cases, with a column for each volume and ``label``."""
+    out = None
+    for k, (_, volumes, label) in enumerate(checked):
+        frame = volumes[0].frame
+        values = [column(v, frame).alias(f"v{n}") for n, v in enumerate(volumes)]
+        rows = frame.df.select(F.lit(k).cast("bigint").alias("image_id"), "x", "y", "z", *values, column(label, frame).cast("int").alias("label"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise LanguageError("E_EMPTY", "train needs a case")
+    return out
+
+
+@primitive("nnunet:train", 2, 8)
+def train(given: list, work_root: str, modalities: Any = None, config: str = "2d", nfolds: float = 5, name: str = "", device: str = "", trainer: str = "default") -> Any:
+    """Train with the trainer that was registered as ``trainer`` in ``TRAINERS``, a pair of functions to train and to predict."""
+    if trainer not in TRAINERS:
+        raise LanguageError("E_RUNTIME", f"no trainer {trainer!r} is registered")
+    found = cases.checked(given)
+    rows = cases.binary_labels(_labelled(found))
+    return {"model": cases.train(rows, TRAINERS[trainer][0], int(nfolds), len(found[0][1])), "trainer": trainer}
+
+
+primitive("nnunet:make_predictor", 1, 3)(lambda model, device="", folds=None: model | {"folds": [int(k) for k in folds] if folds else None})
+
+
+@primitive("nnunet:predict", 2, kind="image")
+def predict(predictor: dict, volumes: Any) -> Image:
+    images = volumes if isinstance(volumes, list) else [volumes]
+    if len(images) != predictor["model"].modalities:
+        raise LanguageError("E_ARITY", "predict: another number of volumes than in training")
+    frame = images[0].frame
+    rows = frame.df.select(*VOXEL, *[column(v, frame).alias(f"v{n}") for n, v in enumerate(images)])
+    return image_of(cases.predict(rows, predictor["model"], TRAINERS[predictor["trainer"]][1], predictor.get("folds")), frame.domain, "label")
+
+
+primitive("nnunet:env_check", 0, None)(lambda *_: cases.env_check())
+for _name in ("enqueue", "enqueue_advanced", "workflow_controller"):
+    primitive(f"test:{_name}", 1, None)(lambda *xs, name=_name: {"operation": name, "arguments": [str(x) for x in xs], "scheduled": False})
+primitive("test:timewaste", 2)(lambda rounds, x: x)
+
+
 def image_of(df: DataFrame, domain: Domain, value: str = "v") -> Image:
     """A bound image for programs, from a voxel table."""
     return Image(Frame(df.select(*VOXEL, F.col(value).alias("v")), domain), F.col("v"))

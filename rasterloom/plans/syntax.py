@@ -94,8 +94,8 @@ class Parser:
         return found[1:-1]
 
     def starts_operator(self) -> str:
-        """The operator here, if it isn't a name: upper-case letters need a symbol after them."""
-        return self.look(OPERATOR)
+        """The operator here, if it isn't a name: upper-case letters need a symbol after them, and a program variable begins with a dollar."""
+        return "" if self.look(NAME).startswith("$") else self.look(OPERATOR)
 
     def program(self) -> list[Tree]:
         out = []

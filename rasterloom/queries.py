@@ -548,3 +548,81 @@ def fibonacci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(41).select(F.col("id").alias("i"), F.aggregate(sequence.array_range(F.lit(0).cast("bigint"), F.col("id")), start, step)["a"].alias("f"))
 
 
+
+
+# programs of the surface language, and pages of their sequences
+def program(spark: SparkSession, sf_dir: str, text: str):
+    """An engine for a program in which ``img`` is the set of all images."""
+    from rasterloom.plans import primitives
+    from rasterloom.plans.engine import Engine
+
+    return Engine(spark, text, bindings={"img": primitives.image_of(grouped(spark, sf_dir), GRID)})
+
+
+FLAGSHIP = """
+import "vox1"
+p = percentiles(img, img > 0, 0)
+seeds = 0.93 .<= p
+grown = grow(seeds, geq_sv(0.7, p))
+print "vol_seed" volume(seeds)
+print "vol_grown" volume(grown)
+"""
+
+
+@query(SQL["flagship"])
+def lang_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (_, seed), (_, grown) = program(spark, sf_dir, FLAGSHIP).run()
+    rows = grown.frame.df.select("image_id", seed.value.alias("s"), grown.value.alias("g"))
+    return rows.groupBy("image_id").agg(F.first("s").alias("vol_seed"), F.first("g").alias("vol_grown"))
+
+
+@query(f"WITH {PX} SELECT image_id, x, y, NOT ((v * 2 + 1) * 3 > 3.2) AS out FROM px")
+def lang_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One precedence, from the left; ``!`` negates voxels."""
+    ((_, out),) = program(spark, sf_dir, 'print "m" !(img * 2 + 1 * 3 > 3.2)').run()
+    return out.result().select("image_id", "x", "y", F.col("v").alias("out"))
+
+
+def _values(spark: SparkSession, values: list) -> DataFrame:
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "idx bigint, value double")
+
+
+@query("SELECT unnest([0, 1, 2])::BIGINT AS idx, unnest([9, 10, 285])::DOUBLE AS value")
+def lang_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """
+    sq(a) = a * a
+    print "precedence" 1+2*3
+    print "fold" fold + 0 range(0,5)
+    print "squares" fold + 0 (for i in range(0,10) do sq(i))
+    """
+    return _values(spark, [v for _, v in program(spark, sf_dir, text).run()])
+
+
+@query("SELECT i - 500 AS idx, (i + 1000)::BIGINT * 2 AS value FROM (SELECT unnest(range(500, 600)) AS i)")
+def lang_long_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long range is a table: the map is a projection, and the slice a predicate of its source."""
+    ((_, out),) = program(spark, sf_dir, 'print "s" (for i in range(1000, 2000000) do (i * 2))[500:600]').run()
+    return out.select("idx", F.col("value").cast("bigint").alias("value"))
+
+
+@query("SELECT i AS idx, (i * i)::DOUBLE AS value FROM (SELECT unnest(range(20, 25)) AS i)")
+def page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = program(spark, sf_dir, 'print "s" for i in range(0, 1000) do i * i')
+    items, _ = engine.page(engine.plan.goals[0].id, 20, 5)
+    return spark.createDataFrame([(20 + k, float(v)) for k, v in enumerate(items)], "idx bigint, value double")
+
+
+@query("SELECT regexp_replace(c_name || ' ' || c_mktsegment, '[^A-Za-z0-9_-]+', '_', 'g') AS case_id, count(*) AS n FROM (SELECT 'Case#' || (c_custkey % 50) AS c_name, c_mktsegment FROM customer) GROUP BY 1 HAVING count(*) > 1")
+def case_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.operators import cases
+
+    name = F.concat(F.lit("Case#"), (F.col("c_custkey") % 50).cast("string"), F.lit(" "), F.col("c_mktsegment"))
+    return cases.duplicates(table(spark, sf_dir, "customer").select(name.alias("case_id")))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: event-time windows, here over the whole table."""
+    from rasterloom.streaming import events
+
+    return events.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
