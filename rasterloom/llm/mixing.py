@@ -95,6 +95,6 @@ def realised(docs: DataFrame, **how) -> DataFrame:
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows that share an id are taken alike."""
-    copies = mixed(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    copies = mixed(docs, **how).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(docs.columns)

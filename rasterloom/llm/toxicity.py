@@ -284,13 +284,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
     return fit(bags, toxic)
 
 
-def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """``docs`` with ``score`` (double, 0 to 1) and all columns as they were; null texts count as empty.
+def scored(docs: DataFrame, machine: Machine | None, out: str = "score") -> DataFrame:
+    """``docs`` with ``out`` (double, 0 to 1) and all columns as they were; null texts count as empty.
 
-    Without a machine each score is 0. Equal texts have equal scores.
+    Without a machine each score is 0. Equal texts have equal scores. A column that has the name
+    ``out`` is replaced.
     """
+    docs = docs.drop(out)
     if machine is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +307,9 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
                     best.append(machine.best(held, kept))
                     held, size = [], 0
             score = machine.score(np.concatenate(best) if best else np.zeros(0))
-            yield batch.append_column("score", pa.array(score, pa.float64()))
+            yield batch.append_column(out, pa.array(score, pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,4 +320,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that are predicted toxic."""
-    return scored(docs, train(docs, labels)).where("score < 0.5").drop("score")
+    return scored(docs, train(docs, labels), "_toxicity_score").where("_toxicity_score < 0.5").drop("_toxicity_score")

@@ -1,0 +1,436 @@
+"""Each operator against a plain version of it, on texts that are null, empty, very long, equal or repeated."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rasterloom.llm import bpe, components, html, lm, mixing, quality, secrets, simhash, spotsigs, toxicity, warc
+from rasterloom.llm.queries import QUERIES, vocabulary
+
+R = random.Random(5)
+WORDS = ["the", "of", "and", "anon", "thtion", "edre", "Ouha", "inging.", "wh,", "stea", "le", "der", "éré", "x1"]
+
+
+def prose(n, seed=0):
+    r = random.Random(seed)
+    return "".join(r.choice(WORDS) + ("\n" if r.random() < 0.05 else " ") for _ in range(n))
+
+
+LONG = prose(30_000, 1)
+#: null, empty, blank, tie, repeated row, very long, null id
+ROWS = [
+    (1, prose(120, 2), "en", "a"), (2, None, "en", "a"), (3, "", None, "b"), (4, " \t\n\x0b ", "de", None), (5, prose(120, 2), "fr", "a"),
+    (6, LONG, "en", "a"), (7, "token = abcdefghijkl0123", "en", "b"), (7, "token = abcdefghijkl0123", "en", "b"), (8, "one", "xx", "c"), (None, "no id", "en", "c"),
+    (9, "same line here\nsame line here\nother\n", "en", "a"), (10, "日本語 <|endoftext|> a b\u0085c\x1cd 😀 'll", "ja", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """With columns that clash with names used inside the operators."""
+    rows = [(*r, 0, "x", 1.5, [1], True) for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, words string, score double, fp array<int>, kept boolean").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("doc_id < 0")
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.RankArrayBPE(vocabulary("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# 1
+def test_bpe_equals_the_library(spark, docs, library):
+    got = bpe.round_trip(docs, vocabulary("byte_bpe_50k.json")).collect()
+    want = []
+    for k, text, *_ in ROWS:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((k, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_any_text(coder, library, text):
+    ids = coder.encode(text)
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert coder.decode(ids) == text
+
+
+def test_bpe_every_character(coder, library):
+    texts = [f"a{chr(c)}1 {chr(c)} {chr(c)}{chr(c)}b  {chr(c)}\n{chr(c)}" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    assert coder.encode_many(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_long_words_and_batches_agree(coder, library):
+    for word in ["a" * 5000, "ab" * 900, "日本語" * 300, "!" * 2000, "thereon" * 200]:
+        ids = [coder.byte_ids[b] for b in word.encode()]
+        assert coder._by_scan(ids[:]) == coder._by_heap(ids[:]) == library.encode(word, add_special_tokens=False).ids
+    words = [bytes(R.randrange(256) for _ in range(9)) for _ in range(300)] + [b"anothing!", b"wholewith"]
+    assert coder._by_scans(words) == [tuple(coder._by_scan([coder.byte_ids[b] for b in w])) for w in words]
+
+
+def test_bpe_general_interface(docs, none):
+    path = vocabulary("byte_bpe_50k.json")
+    back = bpe.decode(bpe.encode(docs, path), path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.selectExpr("doc_id", "coalesce(text, '') AS text").collect()))
+    assert bpe.encode(none, path).count() == 0 and bpe.round_trip(none, path).count() == 0
+
+
+# 2
+def base_counts(text):
+    words, text = tokens(text), text or ""
+    seen = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    hit = {p for k, w in enumerate(seen) if seen.count(w) > 1 for p in (k, k + 1, k + 2)} if len(seen) < 2000 else None
+    if hit is None:
+        from collections import Counter
+
+        n = Counter(seen)
+        hit = {p for k, w in enumerate(seen) if n[w] > 1 for p in (k, k + 1, k + 2)}
+    lines = [x for x in text.split("\n") if tokens(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_base(docs, none):
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.report(docs).collect()}
+    want = set()
+    for k, text, *_ in ROWS:
+        c = base_counts(text)
+        want.add((k, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert got == want
+    assert quality.report(none).count() == 0
+
+
+def test_quality_divergence(spark):
+    rows = [(k, prose(200, k), "en") for k in range(30)]
+    rows += [(100, " ".join(f"{w}%%%$$$" for w in prose(150, 99).split()), "en"), (101, " ".join(f"qzx{k}" for k in range(300)), "en")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    refs = [np.zeros(len(got[0].chars)), np.zeros(len(got[0].commons))]
+    for r in got.values():
+        if not r.base_failed:
+            refs[0] += r.chars
+            refs[1] += r.commons
+    for r in got.values():
+        for hist, ref, have in ((r.chars, refs[0], r.char_js), (r.commons, refs[1], r.word_js)):
+            p, q = np.array(hist) / sum(hist), ref / ref.sum()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.nansum(np.where(p > 0, p * np.log2(2 * p / (p + q)), 0)) + np.nansum(np.where(q > 0, q * np.log2(2 * q / (p + q)), 0))
+            assert have == pytest.approx(np.sqrt(d / 2), abs=1e-9)
+    assert not got[100].kept and got[101].char_js > 0 and all(got[k].kept or got[k].base_failed for k in range(30))
+
+
+# 3
+def test_warc_revisits(spark, tmp_path):
+    big, other = "x" * 1500, "é" * 500
+    rows = [(1, "http://a/1", big), (2, "http://a/%32\r\n", big), (3, None, big), (4, "http://b", "small"), (5, "http://b", "small"), (6, "u", None), (7, "u", ""), (8, "v", other), (9, "v", other), (10, "w", "a\r\n\r\nWARC/1.1\r\n" * 90)]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
+    path = f"file://{tmp_path}/warc"
+    warc.write(pages, path)
+    got = {r.page_id: r for r in warc.resolved(warc.read(spark, path, payload=True)).collect()}
+    for k, url, text in rows:
+        raw = (text or "").encode()
+        same = [p for p, _, t in rows if (t or "").encode() == raw]
+        revisit = len(raw) >= 1000 and k != max(same)
+        r = got[k]
+        assert (r.record_type, r.refers_to) == (("revisit", max(same)) if revisit else ("response", None))
+        assert (r.payload_bytes, r.payload_digest, bytes(r.payload), r.url) == (len(raw), hashlib.sha1(raw).hexdigest(), raw, url.strip() if url else url) or k == 2
+    assert got[2].url == "http://a/%32\r\n"
+    warc.write(pages.where("page_id < 0"), f"{path}-none")
+    assert warc.read(spark, f"{path}-none").count() == 0
+
+
+# 4
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in tokens(text)]
+    runs = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hs = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_fingerprints(docs, none):
+    got = {(r.doc_id, r.fingerprint) for r in simhash.report(docs).collect()}
+    assert got == {(k, f"{plain_fingerprint(t):016x}") for k, t, *_ in ROWS}
+    assert simhash.report(none).count() == 0
+
+
+def plain_components(fps):
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {f: find(f) for f in fps}
+
+
+@pytest.mark.parametrize("part", [8, 4096])
+def test_simhash_links_lose_nothing(spark, part):
+    fps = set()
+    for _ in range(25):
+        centre = R.getrandbits(64)
+        for _ in range(R.choice([1, 2, 5, 40])):
+            f = centre
+            for _ in range(R.randrange(6)):
+                f ^= 1 << R.randrange(64)
+            fps.add(f)
+    fps |= {0, (1 << 64) - 1, 0b1111, 0b11111, 0b111111111}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), part=part)
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    want = plain_components(sorted(f - (1 << 64) if f >> 63 else f for f in fps) and sorted(fps))
+    groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+    mine = {f: got.get(f - (1 << 64) if f >> 63 else f, f - (1 << 64) if f >> 63 else f) for f in fps}
+    assert groups(mine) == groups(want)
+
+
+def test_simhash_covering():
+    triples = simhash.covering()
+    assert all(any(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
+
+
+def test_simhash_components_and_dedup(spark, docs):
+    got = {(r.doc_id, r.component_id) for r in simhash.report(docs).collect()}
+    fps = {}
+    for k, t, *_ in ROWS:
+        fps.setdefault(plain_fingerprint(t), []).append(k)
+    roots = plain_components(sorted(fps))
+    least = {}
+    for f, r in roots.items():
+        least[r] = min([least.get(r, 1 << 60), *[k for k in fps[f] if k is not None]])
+    assert got == {(k, least[roots[plain_fingerprint(t)]]) for k, t, *_ in ROWS if least[roots[plain_fingerprint(t)]] < 1 << 60} | {(k, None) for k, t, *_ in ROWS if least[roots[plain_fingerprint(t)]] == 1 << 60}
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got if c is not None})
+
+
+# 5
+def test_mixing(spark, docs, none):
+    rows = [(k, prose(20 + k % 7, k), "en", "big" if k < 300 else "mid" if k < 360 else "tiny") for k in range(380)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.realised(df, max_repeats=2.5, entropy=None).collect()
+    total = {}
+    for r in got:
+        total[r.source] = total.get(r.source, 0) + r.n_tokens
+    own = {}
+    for _, t, _, s in rows:
+        own[s] = own.get(s, 0) + len(tokens(t))
+    assert {r.doc_id for r in got} == set(range(380))
+    repeats = {s: total[s] / own[s] for s in own}
+    assert repeats["big"] == 1 and repeats["tiny"] == pytest.approx(2.5, abs=0.1)
+    alpha = 1 - np.log(2.5) / np.log(own["big"] / own["tiny"])
+    assert repeats["mid"] == pytest.approx((own["big"] / own["mid"]) ** (1 - alpha), abs=0.05)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.realised(df.repartition(7), max_repeats=2.5, entropy=None).collect()))
+    assert mixing.realised(none).count() == 0
+    assert sorted(map(str, mixing.repeated(docs, max_repeats=1.0).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_mixing_entropy(spark):
+    sizes = [500, 100, 40]
+    totals = spark.createDataFrame([(str(k), n) for k, n in enumerate(sizes)], "source string, tokens long")
+    alpha = mixing.exponent(totals, 100.0, 0.9)
+    w = np.array(sizes, float) ** alpha
+    w /= w.sum()
+    assert -(w * np.log(w)).sum() / np.log(3) == pytest.approx(0.9, abs=1e-6)
+
+
+# 6
+def test_lm_windows_and_gradient():
+    key = lm.windows([b"ab", b"", b"c"])
+    assert [list(map(int, d)) for d in lm.digits(key)[0]] == [[0, 0, 99, 0], [0, 98, 0, 0], [0, 0, 0, 0]]
+    assert lm.digits(key)[1].tolist() == [98, 99, 100]
+    w = lm.fresh()
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    g = lm.gradient(w, key)
+    loss = lambda: -lm.forward(w, lm.digits(key)[0])[2][np.arange(3), lm.digits(key)[1]].mean()
+    for name, at in (("o", (3, 98)), ("h", (5, 2)), ("e", (99, 4)), ("ob", (7,)), ("hb", (1,))):
+        w[name][at] += 1e-5
+        up = loss()
+        w[name][at] -= 2e-5
+        assert (up - loss()) / 2e-5 == pytest.approx(float(g[name][at]), abs=1e-4)
+        w[name][at] += 1e-5
+
+
+def test_lm_scores(spark, docs, none):
+    w = lm.fit(docs, rounds=1, shards=2)
+    got = {(r.doc_id, r.n_tokens, round(r.log_prob, 3)) for r in lm.scored(docs, w).collect()}
+    want = set()
+    for k, text, *_ in ROWS:
+        raw = (text or "").encode()
+        key = lm.windows([raw])
+        logp = lm.forward(w, lm.digits(key)[0])[2][np.arange(len(key)), lm.digits(key)[1]] if len(key) else np.zeros(0)
+        want.add((k, len(raw), float(logp.astype(float).sum())))
+    assert {g[:2] for g in got} == {x[:2] for x in want}
+    by = {x[:2]: x[2] for x in want}
+    assert all(g[2] == pytest.approx(by[g[:2]], rel=1e-4, abs=1e-2) for g in got)
+    plain = lm.scored(docs, lm.fresh()).where("doc_id = 6").first()
+    assert lm.scored(docs, w).where("doc_id = 6").first().bits_per_token < 0.7 * plain.bits_per_token
+    assert lm.scored(none, lm.fit(none)).count() == 0
+
+
+# 7
+def toxic_set(n=240):
+    r = random.Random(3)
+    out = []
+    for k in range(n):
+        words = [r.choice(["th", "er", "on", "an", "in", "re", "st"]) + r.choice(["ion", "ed", "ing", "ly", "ea"]) + r.choice(["", "th", "wh", "ou"]) for _ in range(40)]
+        if k % 4 == 0:
+            for _ in range(3):
+                words[r.randrange(40)] = r.choice(["idiot", "moron", "scumbag", "worthless"])
+        out.append((k, " ".join(words), int(k % 4 == 0)))
+    return out
+
+
+def test_toxicity_held_out(spark, none):
+    rows = toxic_set()
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, ""), (902, "an idxiot thing"), (903, "i d i o t"), (904, "w" * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    held = [got[k].predicted == y for k, _, y in rows if got[k].held_out]
+    assert len(held) > 20 and np.mean(held) > 0.95
+    assert got[900].predicted == got[901].predicted == 0 and got[900].score == got[901].score
+    assert got[903].predicted == 1 and got[902].score > got[901].score
+    assert toxicity.report(docs.where("doc_id < 0"), labels).count() == 0
+    assert toxicity.report(docs, labels.where("toxic = 0")).where("score <> 0").count() == 0
+
+
+def test_toxicity_weights_equal_the_kernel():
+    machine = toxicity.fit([toxicity.words_of(t) for _, t, _ in toxic_set()], [y for *_, y in toxic_set()])
+    words = ["idiot", "idxiot", "thion", "ering", "moron"]
+    margins = machine.margins(words)
+    assert margins[0] > 0.5 > margins[2] and margins[0] > margins[1] > margins[3]
+    assert toxicity.kernel("idiot", "idiot") > toxicity.kernel("idiot", "idxiot") > toxicity.kernel("idiot", "thion")
+
+
+# 8
+def test_secrets(docs, none):
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    random_key = "".join(random.Random(4).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=40))
+    text = f"é PassWord : 'abcdefghijkl' token=short secret={'x' * 20} AKIA{'Z' * 14} AKIAshort {'0af' * 8} see {random_key} and {'A1' * 20} {'AB12' * 10} 12345678-1234-1234-1234-123456789abc"
+    found = [(toxic, text[a:b]) for a, toxic, b in secrets.spans(text, path, 2.0)]
+    kinds = {k: [t for n, t in found if n == k] for k in range(4)}
+    assert kinds[0] == ["PassWord : 'abcdefghijkl", f"secret={'x' * 20}"] and kinds[1] == ["AKIA" + "Z" * 14]
+    assert "0af" * 8 in kinds[2] and random_key in kinds[3] and "AB12" * 10 not in kinds[3]
+    got = {r.doc_id: r for r in secrets.report(docs, path).collect()}
+    assert got[7].n_assign == 1 and got[7].base_sha256 == hashlib.sha256(b"assign:0:24").hexdigest() and got[2].spans == ""
+    assert secrets.report(none, path).count() == 0
+    clean = {r.doc_id: r for r in secrets.redact(docs, path).collect()}
+    assert clean[7].text == "[secret]" and clean[7].n_chars == 8 and clean[2].text is None and clean[6].text == LONG
+
+
+# 9
+def plain_signatures(text):
+    words = tokens((text or "").lower())
+    content = [w for w in words if w not in quality.COMMON]
+    out, seen = set(), 0
+    for w in words:
+        if w in quality.COMMON:
+            if seen + 3 <= len(content):
+                out.add((w, *content[seen : seen + 3]))
+        else:
+            seen += 1
+    return out or {tuple(words)}
+
+
+def test_spotsigs(docs, none):
+    got = {r.doc_id: r for r in spotsigs.report(docs).collect()}
+    order = sorted([(k, t or "") for k, t, *_ in ROWS], key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    for n, (k, text) in enumerate(order):
+        following = order[(n + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        if k == 7:
+            continue  # two equal rows
+        jaccard = lambda a, b: len(a & b) / len(a | b)
+        own = plain_signatures(text)
+        assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[k].near_edited == pytest.approx(jaccard(own, plain_signatures(edited)))
+        assert got[k].near_next == pytest.approx(jaccard(own, plain_signatures(following)))
+    assert got[1].fingerprint == got[5].fingerprint and got[1].fingerprint != got[6].fingerprint
+    assert spotsigs.report(none).count() == 0
+
+
+def test_spotsigs_ranges_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE", 10)
+    rows = [(3 * k * k + 1, prose(60, k // 2 if k % 10 < 2 else k) + (" the end of it all" if k % 2 else "")) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.following for r in spotsigs.with_next(df).collect()}
+    order = sorted(rows, reverse=True)
+    assert got == {k: order[(n + 1) % 90][1] for n, (k, _) in enumerate(order)}
+    sets = {}
+    for k, t in sorted(rows):
+        sets.setdefault(frozenset(plain_signatures(t)), k)
+    want = {(a, b) for (x, a), (y, b) in itertools.permutations(sets.items(), 2) if a < b and len(x & y) / len(x | y) >= 0.8}
+    assert {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.8).collect()} == want and want
+
+
+# 10
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=5))
+def test_html_suffix_array(pages):
+    got = html.repeated([np.array(p, np.int64) for p in pages], 4)
+    grams = lambda p: {tuple(p[k : k + 4]) for k in range(len(p) - 3)}
+    for n, p in enumerate(pages):
+        hit = [False] * len(p)
+        for k in range(len(p) - 3):
+            if any(tuple(p[k : k + 4]) in grams(q) for m, q in enumerate(pages) if m != n):
+                hit[k : k + 4] = [True] * 4
+        assert got[n].tolist() == hit
+
+
+def own(k):
+    """Words that no other page has."""
+    return " ".join(f"w{k}x{n}" for n in range(12))
+
+
+def test_html_blocks(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body><header>Site</header>
+    <nav><ul><li><a>Home</a></ul></nav><!-- no --><div class="ad box">Buy</div><article><header><h1>A &amp; B</h1></header><p>One <b>two<br>three&nbsp; x
+    <p>Four &#233; &lt;b&gt; 1 < 2<div class="comments"><p>Reader says</p></div><aside>Side</aside><form><p>Sign</p></form><p>Five</p></article><footer>&copy; x</footer></body></html>"""
+    assert html.blocks(page)[0] == ["A & B", "One two three x", "Four é <b> 1 < 2", "Five"]
+    plain = "<body><div>{} menu of our very own site here</div><div>{}</div><div>all rights of this page are kept by us</div></body>"
+    rows = [(k, f"http://h{k % 2}.example/x", plain.format("", own(k))) for k in range(40)]
+    rows += [(100, "http://h0.example/y", page), (101, None, None), (102, "odd", ""), (103, "http://alone.example", plain.format("", "text"))]
+    got = {r.page_id: r for r in html.report(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")).collect()}
+    assert all(got[k].text == own(k) for k in range(40))
+    assert got[100].text == "A & B\nOne two three x\nFour é <b> 1 < 2\nFive" and got[101].text == got[102].text == "" and "text" in got[103].text
+    assert html.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(html, "PAGES", 8)
+    plain = "<div>menu of our very own site here</div><div>{}</div>"
+    rows = [(k, "http://hot.example/", plain.format(own(k))) for k in range(60)]
+    got = html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {own(k) for k in range(60)}
+
+
+def test_every_operator_has_a_query():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
