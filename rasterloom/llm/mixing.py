@@ -19,6 +19,8 @@ from rasterloom.llm.common import BLANK, checkpointed
 
 #: Documents of a block, if all were of one source.
 BLOCK = 2000
+#: How often a source is repeated at most, and the entropy that is looked for, as a share of the largest.
+REPEATS, ENTROPY = 2.0, 0.995
 #: Exponents tried by each pass over the sources, and passes: together 2 ** 40 steps.
 TRIED, PASSES = 31, 8
 
@@ -60,7 +62,7 @@ def exponent(totals: DataFrame, max_repeats: float, entropy: float | None) -> fl
     return high
 
 
-def mixed(docs: DataFrame, max_repeats: float = 2.0, entropy: float | None = 0.995, seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, max_repeats: float = REPEATS, entropy: float | None = ENTROPY, seed: int = 1) -> DataFrame:
     """``doc_id, source, n_tokens, block, copies`` of each row: how often it is taken, once at least.
 
     Null is a source of its own. A source without any token is taken once. Rows that repeat count
@@ -98,3 +100,30 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     copies = mixed(docs, **how).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
     out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
     return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(docs.columns)
+
+
+def sql(max_repeats: float = REPEATS, entropy: float = ENTROPY, seed: int = 1) -> str:
+    """DuckDB SQL for the rows of ``realised``, for ids that don't repeat."""
+    drawn = lambda salt, *columns: "('0x' || substr(md5(concat_ws('/', " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns) + f", '{salt}{seed}')), 1, 15))::BIGINT"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+        k AS (SELECT greatest(1, (count(*) + {BLOCK} - 1) // {BLOCK}) AS blocks FROM d),
+        r AS (SELECT d.*, {drawn("block", "doc_id")} % (SELECT blocks FROM k) AS block FROM d),
+        b AS (SELECT source, block, sum(n_tokens)::BIGINT AS block_tokens FROM r GROUP BY source, block),
+        t AS (SELECT source, sum(block_tokens)::BIGINT AS tokens FROM b GROUP BY source),
+        a AS (SELECT max(tokens)::DOUBLE AS most, min(tokens)::DOUBLE AS least, ln(count(*)) AS even, list(tokens) AS each, sum(tokens)::DOUBLE AS total FROM t WHERE tokens > 0),
+        s AS (SELECT *, list_transform(each, lambda x: x / total) AS shares FROM a),
+        x AS (SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+            UNION ALL SELECT step + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END
+            FROM (SELECT step, low, high, mid, pow(most / least, 1 - mid) <= {max_repeats}
+                    AND ln(list_sum(list_transform(shares, lambda p: pow(p, mid)))) - mid * list_sum(list_transform(shares, lambda p: pow(p, mid) * ln(p))) / list_sum(list_transform(shares, lambda p: pow(p, mid))) < {entropy} * even AS fits
+                FROM (SELECT step, low, high, (low + high) / 2 AS mid FROM x WHERE step < 40), s)),
+        e AS (SELECT CASE WHEN most = least THEN 1.0 ELSE (SELECT high FROM x ORDER BY step DESC LIMIT 1) END AS alpha, most FROM s),
+        w AS (SELECT source, tokens, floor(most * pow(tokens / most, alpha) + 1e-6)::BIGINT AS budget FROM t, e WHERE tokens > 0),
+        l AS (SELECT b.source, b.block, coalesce(greatest(1, budget // tokens), 1) AS whole,
+                coalesce(budget % tokens - coalesce(sum(block_tokens) OVER (PARTITION BY b.source ORDER BY {drawn("order", "b.source", "b.block")}, b.block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS spare
+            FROM b LEFT JOIN w ON w.source IS NOT DISTINCT FROM b.source),
+        c AS (SELECT r.*, whole + CASE WHEN n_tokens > 0 AND sum(n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY {drawn("inside", "doc_id")}, n_tokens, doc_id ROWS UNBOUNDED PRECEDING) <= spare THEN 1 ELSE 0 END AS copies
+            FROM r JOIN l ON l.source IS NOT DISTINCT FROM r.source AND l.block = r.block),
+        o AS (SELECT doc_id, source, n_tokens, block, unnest(range(copies))::INT AS copy FROM c)
+        SELECT *, {drawn("place", "doc_id", "copy")} AS place FROM o"""

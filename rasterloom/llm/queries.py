@@ -66,6 +66,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_mixing, op6_lm, op7_toxicity, op8_secrets, op9_spotsigs, op10_html)}
 SQL: dict[str, str] = {
     "op2_quality": quality.sql(),
+    "op5_mixing": mixing.sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
         d AS (SELECT *, sha1(html) AS digest FROM p),
