@@ -22,6 +22,8 @@ from rasterloom.llm.common import checkpointed, texts
 SIDE, VALUES, EMBED, HIDDEN = 2, 257, 12, 32
 #: Shards that train copies, rounds of averaging, windows of a step, and steps of a round at least.
 SHARDS, ROUNDS, STEP, LEAST_STEPS = 8, 4, 2048, 150
+#: Distinct windows of a shard at most, about.
+LARGEST = 4_000_000
 #: Bytes of the texts that are handled together; windows whose scores a worker remembers.
 TOGETHER, REMEMBERED = 1 << 22, 3_000_000
 Weights = dict[str, np.ndarray]
@@ -124,10 +126,13 @@ def trained(w: Weights, key: np.ndarray, n: np.ndarray, rate: float, seed: int)
 def fit(docs: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> Weights:
     """Train on all windows of the corpus.
 
-    A shard holds the numbers of its distinct windows, whose count levels off as a corpus grows. The
-    driver gets ``shards`` sets of weights a round, whatever the size of the input.
+    There are ``shards`` shards, or more so that none holds much over ``LARGEST`` distinct windows,
+    whose number levels off as a corpus grows. The driver gets a set of weights, of some 80 KB, from
+    each shard a round.
     """
-    table = checkpointed(counted(docs).withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "window"))
+    counts = checkpointed(counted(docs))
+    shards = max(shards, -(-counts.count() // LARGEST))
+    table = checkpointed(counts.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "window"))
     w = fresh()
     names = list(w)
     for turn in range(rounds):
