@@ -28,12 +28,12 @@ from rasterloom.llm.common import texts
 #: Bytes of a word up to which the rank array is scanned.
 SHORT = 160
 #: Characters of the longest word that is remembered, and how many are before a worker starts anew.
-KEPT, MOST_KEPT = 64, 400_000
+KEPT, MOST_KEPT = 64, 120_000
 NONE = 1 << 60
 #: Over any id.
 WIDE = 1 << 24
 #: Characters of the texts that are encoded together.
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 TWO_SPACES = re.compile(r"\s\s")
 AT_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -244,10 +244,12 @@ LOADED: dict[str, RankArrayBPE] = {}
 
 
 def loaded(path: str) -> RankArrayBPE:
-    """The vocabulary at ``path``, read once by each worker; it has no cycles, so garbage isn't looked for."""
-    gc.disable()
+    """The vocabulary at ``path``, read once by each worker, which then looks for garbage among newer objects only."""
     if path not in LOADED:
         LOADED[path] = RankArrayBPE(path)
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(100_000, 20, 20)
     return LOADED[path]
 
 

@@ -44,7 +44,7 @@ TOXIC_DOCS, CLEAN_DOCS, LANDMARKS = 1000, 2000, 256
 #: Words of clean documents that training looks at, drawn and again by how toxic they seem, at most.
 CLEAN_WORDS, HARD_WORDS = 10_000, 6_000
 #: Words that a worker remembers the margin of before it starts anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 120_000
 FLOOR = -2.0
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -296,14 +296,14 @@ def scored(docs: DataFrame, machine: Machine | None, out: str = "score") -> Data
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
+        gc.set_threshold(100_000, 20, 20)
         kept: dict[str, float] = {}
         for batch in batches:
             best, held, size = [], [], 0
             for k, value in enumerate(batch.column(place)):
                 held.append(value.as_py() or "")
                 size += len(held[-1])
-                if size > 1_000_000 or k == batch.num_rows - 1:
+                if size > 500_000 or k == batch.num_rows - 1:
                     best.append(machine.best(held, kept))
                     held, size = [], 0
             score = machine.score(np.concatenate(best) if best else np.zeros(0))
