@@ -1,10 +1,9 @@
-"""HTML extraction with a suffix array for each host.
+"""HTML extraction with suffix arrays for each host.
 
-Pages are cut into blocks. Blocks inside an article are its text; menus, footers, adverts and the
-like are told by their elements and attributes. What is left, such as all of a page that marks no
-article, is judged by its host: the token streams of its pages are concatenated, the suffixes sorted,
-and substrings of ``LONG`` tokens or more that occur on distinct pages are boilerplate. Blocks that
-these cover are removed, and unique runs are kept.
+Pages are cut into blocks; menus, footers, adverts and the like are told by their elements and
+attributes. All other blocks, inside an article or not, are judged by their host: the token streams of
+its distinct pages are concatenated, the suffixes sorted, and substrings of ``LONG`` tokens or more
+that occur on distinct pages are boilerplate.  Blocks that these cover are removed, but for passages of an article.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Tokens of the shortest boilerplate, and the share of a block that it covers to remove it.
 LONG, COVERED = 6, 0.8
+#: Tokens from which a block inside an article is a passage, which documents may share.
+PASSAGE = 40
 #: Pages of a suffix array, about; and the hosts, at most, whose pages are dealt to more than one task.
 PAGES, HOT_HOSTS = 512, 4096
 
@@ -47,11 +48,10 @@ def unwanted(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> tuple[list[str], list[str]]:
-    """The blocks inside articles, and those that may or may not be of one; white space as one space."""
+def cut(html: str) -> list[tuple[bool, str]]:
+    """Whether it is inside an article, and the text, of each block that may be of one; white space as one space."""
     text = RAW.sub(" ", COMMENT.sub("", html))
-    fixed: list[str] = []
-    loose: list[str] = []
+    found: list[tuple[bool, str]] = []
     held: list[str] = []
     open_: list[str] = []
     dead, inside, at = 0, 0, 0  # depth at which an unwanted element began, open articles
@@ -60,7 +60,7 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
         words = unescape("".join(held)).split()
         held.clear()
         if words:
-            (fixed if inside else loose).append(" ".join(words))
+            found.append((inside > 0, " ".join(words)))
 
     for m in TAG.finditer(text):
         if not dead:
@@ -93,7 +93,13 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
     if not dead:
         held.append(text[at:] if (cut := text.find("<", at)) < 0 or not re.match(r"</?[a-zA-Z]", text[cut : cut + 3]) else text[at:cut])
         close()
-    return fixed, loose
+    return found
+
+
+def blocks(html: str) -> tuple[list[str], list[str]]:
+    """The blocks inside articles, and those outside that may or may not be of one."""
+    found = cut(html)
+    return [b for inside, b in found if inside], [b for inside, b in found if not inside]
 
 
 def repeated(streams: list[np.ndarray], long: int = LONG) -> list[np.ndarray]:
@@ -132,22 +138,30 @@ def repeated(streams: list[np.ndarray], long: int = LONG) -> list[np.ndarray]:
     return np.split(np.cumsum(edge[:-1]) > 0, ends[:-1])
 
 
-def judged(pages: list[tuple[bool, list[str]]], long: int = LONG, covered: float = COVERED) -> list[list[str]]:
-    """The blocks kept of each page of a host: all of pages that mark their article, else those that boilerplate doesn't cover.
+Page = list[tuple[bool, str]]
+
+
+def distinct(pages: list[Page]) -> tuple[list[int], list[list[str]]]:
+    """The number of each page's stream, and the streams that differ, as words: equal pages count as one."""
+    number: dict[str, int] = {}
+    which = [number.setdefault(" ".join(b for _, b in page), len(number)) for page in pages]
+    return which, [text.split() for text in number]
+
 
-    Each page is whether it marks an article, and its blocks: for a page that does, only what is
-    outside of the article, which tells the host's boilerplate.
+def judged(pages: list[Page], long: int = LONG, covered: float = COVERED, passage: int = PASSAGE) -> list[list[str]]:
+    """The blocks kept of each page: those that boilerplate doesn't cover, and passages of an article.
     """
+    which, streams = distinct(pages)
     number: dict[str, int] = {}
-    tokens = [[[number.setdefault(w, len(number)) for w in b.split()] for b in own] for _, own in pages]
-    streams = [np.array([k for b in own for k in b], np.int64) for own in tokens]
+    hits = repeated([np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in streams], long)
     out = []
-    for (fixed, own), ids, hit in zip(pages, tokens, repeated(streams, long)):
+    for page, k in zip(pages, which):
         at, kept = 0, []
-        for text, b in zip(own, ids):
-            if not fixed and hit[at : at + len(b)].mean() < covered:
+        for inside, text in page:
+            n = len(text.split())
+            if inside and n >= passage or hits[k][at : at + n].mean() < covered:
                 kept.append(text)
-            at += len(b)
+            at += n
         out.append(kept)
     return out
 
@@ -166,23 +180,23 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"), F.lit(0)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [blocks(h.as_py() or "") for h in part.column(4)]
-                cols = [*part.columns[:4], pa.array([f for f, _ in found], kinds[4]), pa.array([x for _, x in found], kinds[5])]
-                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "salt", "fixed", "loose"])
+                found = [cut(h.as_py() or "") for h in part.column(4)]
+                cols = [*part.columns[:4], pa.array([[b for _, b in f] for f in found], kinds[4]), pa.array([[i for i, _ in f] for f in found], kinds[5])]
+                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "salt", "texts", "inside"])
 
     kind = dict(pages.dtypes)["page_id"]
-    parsed = rows.select("page_id", "url", "host", "salt", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, salt int, fixed array<string>, loose array<string>")
+    parsed = rows.select("page_id", "url", "host", "salt", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, salt int, texts array<string>, inside array<boolean>")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done(group: list[tuple]) -> pa.RecordBatch:
-            kept = judged([(bool(r[4]), r[5]) for r in group])
-            text = ["\n".join(r[4] or k) for r, k in zip(group, kept)]
+            kept = judged([[*zip(r[5], r[4])] for r in group])
+            text = ["\n".join(k) for k in kept]
             return pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in group], pa.int64()), "url": pa.array([r[1] for r in group], pa.string()), "text": pa.array(text, pa.string())})
 
         for batch in batches:

@@ -432,5 +432,16 @@ def test_html_hot_host(spark, monkeypatch):
     assert {r.text for r in got} == {own(k) for k in range(60)}
 
 
+def test_html_articles_are_judged_too(spark):
+    share = "send this text to all your friends today"
+    rows = [(k, "http://h.example/", f"<article><p>{own(k)}</p><p>{share}</p></article>") for k in range(6)]
+    rows += [(10, "http://h.example/", f"<div>{own(10)}</div><article><p>{share}</p></article><div>{own(11)}</div>")]
+    passage = " ".join(f"shared{n}" for n in range(60))
+    rows += [(k, "http://h.example/", f"<article><p>{own(k)}</p><p>{passage}</p></article>") for k in (20, 21)]
+    got = {r.page_id: r.text for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == own(k) for k in range(6)) and got[10] == f"{own(10)}\n{own(11)}"
+    assert got[20] == f"{own(20)}\n{passage}" and got[21] == f"{own(21)}\n{passage}"
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
