@@ -3,7 +3,8 @@
 Pages are cut into blocks; menus, footers, adverts and the like are told by their elements and
 attributes. All other blocks, inside an article or not, are judged by their host: the token streams of
 its distinct pages are concatenated, the suffixes sorted, and substrings of ``LONG`` tokens or more
-that occur on distinct pages are boilerplate.  Blocks that these cover are removed, but for passages of an article.
+that occur on distinct pages are boilerplate. The substrings of a host that is dealt to several groups
+are counted across them. Blocks that these cover are removed, but for passages of an article.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: Tokens of the shortest boilerplate, and the share of a block that it covers to remove it.
 LONG, COVERED = 6, 0.8
 #: Tokens from which a block inside an article is a passage, which documents may share.
 PASSAGE = 40
-#: Pages of a suffix array, about; and the hosts, at most, whose pages are dealt to more than one task.
-PAGES, HOT_HOSTS = 512, 4096
+#: Pages of a suffix array, about; hosts up to twice as many have one. Words whose hashes a worker remembers.
+PAGES, REMEMBERED = 512, 120_000
+#: Odd factors that mix the hashes of a substring's tokens.
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 RAW = re.compile(r"<(script|style|noscript|template|iframe|textarea|title|svg|math|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
@@ -138,6 +142,38 @@ def repeated(streams: list[np.ndarray], long: int = LONG) -> list[np.ndarray]:
     return np.split(np.cumsum(edge[:-1]) > 0, ends[:-1])
 
 
+def substrings(tokens: np.ndarray, host: int, long: int = LONG) -> np.ndarray:
+    """A hash of the ``long`` tokens from each place of a page's stream of token hashes, of its host alone."""
+    if len(tokens) < long:
+        return np.zeros(0, np.uint64)
+    key = np.full(len(tokens) - long + 1, host, np.uint64)
+    for k in range(long):
+        key = key * MIX[0] + tokens[k : len(tokens) - long + 1 + k]
+    for shift, factor in ((30, MIX[1]), (27, MIX[2])):
+        key = (key ^ (key >> np.uint64(shift))) * factor
+    return key ^ (key >> np.uint64(31))
+
+
+def covers(hit: np.ndarray, size: int, long: int = LONG) -> np.ndarray:
+    """Which of ``size`` tokens the substrings that are hit cover, by their first places."""
+    edge = np.zeros(size + 1, np.int64)
+    edge[: len(hit)] += hit
+    edge[long : long + len(hit)] -= hit
+    return np.cumsum(edge[:-1]) > 0
+
+
+HASHES: dict[str, int] = {}
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    """The hashes of words, remembered by a worker."""
+    if len(HASHES) > REMEMBERED:
+        HASHES.clear()
+    for w in set(words).difference(HASHES):
+        HASHES[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.array([HASHES[w] for w in words], np.uint64)
+
+
 Page = list[tuple[bool, str]]
 
 
@@ -148,12 +184,41 @@ def distinct(pages: list[Page]) -> tuple[list[int], list[list[str]]]:
     return which, [text.split() for text in number]
 
 
-def judged(pages: list[Page], long: int = LONG, covered: float = COVERED, passage: int = PASSAGE) -> list[list[str]]:
+def posted(pages: list[Page], host: str, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct substrings of a group of pages, with the least and the greatest digest of the pages that have it."""
+    seed, keys, digests = xxh64_intdigest(host.encode("utf-8", "surrogatepass")), [], []
+    for words in distinct(pages)[1]:
+        own = np.unique(substrings(hashed(words), seed, long))
+        keys.append(own)
+        digests.append(np.full(len(own), xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")), np.uint64).view(np.int64))
+    return least_and_most(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64), *[np.concatenate([*digests, np.zeros(0, np.int64)])] * 2)
+
+
+def least_and_most(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, with the least of ``low`` and the greatest of ``high``."""
+    if not len(key):
+        return key, low, high
+    order = np.argsort(key, kind="stable")
+    key, low, high = key[order], low[order], high[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+
+
+def judged(pages: list[Page], host: str = "", elsewhere: np.ndarray | None = None, long: int = LONG, covered: float = COVERED, passage: int = PASSAGE) -> list[list[str]]:
     """The blocks kept of each page: those that boilerplate doesn't cover, and passages of an article.
+
+    Boilerplate is what distinct pages of ``pages`` share, and the substrings ``elsewhere``, ascending
+    hashes, which they share with other groups of the host.
     """
     which, streams = distinct(pages)
     number: dict[str, int] = {}
     hits = repeated([np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in streams], long)
+    if elsewhere is not None and len(elsewhere):
+        seed = xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+        for k, words in enumerate(streams):
+            key = substrings(hashed(words), seed, long).view(np.int64)
+            at = np.minimum(np.searchsorted(elsewhere, key), len(elsewhere) - 1)
+            hits[k] = hits[k] | covers(elsewhere[at] == key, len(words), long)
     out = []
     for page, k in zip(pages, which):
         at, kept = 0, []
@@ -169,49 +234,53 @@ def judged(pages: list[Page], long: int = LONG, covered: float = COVERED, passag
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of each page; the text is empty if nothing is left.
 
-    A null html is empty, and a null or odd url makes a host of its own kind. Hosts that hold more
-    than one in ``HOT_HOSTS`` of all pages are dealt to groups of about ``PAGES`` pages; there are at
-    most ``HOT_HOSTS`` of them, which bounds what is broadcast.
+    A null html is empty, and a null or odd url makes a host of its own kind. The pages of a host that
+    has more than twice ``PAGES`` are dealt to groups of about ``PAGES``; there is at most one such
+    host for each of so many pages, which bounds what is broadcast. Their groups post each distinct
+    substring once, and get back those that another page of the host has, wherever it is.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1), F.lit(""))))
-    total = pages.select("page_id").count()
-    hot = rows.groupBy("host").count().where((F.col("count") * HOT_HOSTS > total) & (F.col("count") > 2 * PAGES))
+    hot = rows.groupBy("host").count().where(F.col("count") > 2 * PAGES)
     hot = hot.select("host", F.ceil(F.col("count") / PAGES).cast("int").alias("groups"))
-    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"), F.lit(0)))
+    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")).cast("int"), F.lit(-1)))
+    rows = rows.withColumn("part", F.xxhash64("host", "salt"))
+    kind = dict(pages.dtypes)["page_id"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [cut(h.as_py() or "") for h in part.column(4)]
-                cols = [*part.columns[:4], pa.array([[b for _, b in f] for f in found], kinds[4]), pa.array([[i for i, _ in f] for f in found], kinds[5])]
-                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "salt", "texts", "inside"])
-
-    kind = dict(pages.dtypes)["page_id"]
-    parsed = rows.select("page_id", "url", "host", "salt", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, salt int, texts array<string>, inside array<boolean>")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done(group: list[tuple]) -> pa.RecordBatch:
-            kept = judged([[*zip(r[5], r[4])] for r in group])
-            text = ["\n".join(k) for k in kept]
-            return pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in group], pa.int64()), "url": pa.array([r[1] for r in group], pa.string()), "text": pa.array(text, pa.string())})
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[-1][2:4] != row[2:4]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-                if len(held) >= 2 * PAGES:
-                    yield done(held[:PAGES])
-                    held = held[PAGES:]
-        if held:
-            yield done(held)
-
-    return parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(judge, f"page_id {kind}, url string, text string")
+                found = [cut(h.as_py() or "") for h in part.column(5)]
+                cols = [*part.columns[:5], pa.array([[b for _, b in f] for f in found], kinds[5]), pa.array([[i for i, _ in f] for f in found], kinds[6])]
+                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "salt", "part", "texts", "inside"])
+
+    parsed = rows.select("page_id", "url", "host", "salt", "part", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, salt int, part long, texts array<string>, inside array<boolean>")
+
+    def of(group: pa.Table) -> list[Page]:
+        return [[*zip(i, t)] for i, t in zip(group["inside"].to_pylist(), group["texts"].to_pylist())]
+
+    def post(group: pa.Table) -> pa.Table:
+        single = not group.num_rows or group["salt"][0].as_py() < 0
+        key, low, high = posted([] if single else of(group), "" if single else group["host"][0].as_py())
+        return pa.table({"key": key, "part": pa.array([group["part"][0].as_py()] * len(key), pa.int64()), "low": low, "high": high})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.column_stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+        if parts:
+            key, part, low, high = np.concatenate(parts).T
+            every, least, most = least_and_most(key, low, high)
+            back = np.flatnonzero((least != most)[np.searchsorted(every, key)] & (low == high))
+            for lo in range(0, len(back), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"part": part[back[lo : lo + (1 << 16)]], "key": key[back[lo : lo + (1 << 16)]]})
+
+    def judge(group: pa.Table, shared: pa.Table) -> pa.Table:
+        host = group["host"][0].as_py() if group.num_rows else ""
+        text = ["\n".join(k) for k in judged(of(group), host, np.sort(shared["key"].to_numpy()))]
+        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(text, pa.string())})
+
+    elsewhere = parsed.groupBy("part").applyInArrow(post, "key long, part long, low long, high long").repartition("key").mapInArrow(join, "part long, key long")
+    return parsed.groupBy("part").cogroup(elsewhere.groupBy("part")).applyInArrow(judge, f"page_id {kind}, url string, text string")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -443,5 +443,19 @@ def test_html_articles_are_judged_too(spark):
     assert got[20] == f"{own(20)}\n{passage}" and got[21] == f"{own(21)}\n{passage}"
 
 
+def test_html_repeats_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(html, "PAGES", 4)
+    few = [" ".join(f"note{g}x{n}" for n in range(9)) for g in range(100)]
+    rows = [(k, "http://hot.example/", f"<div>{own(k)}</div><div>{few[k // 2]}</div>") for k in range(200)]
+    rows += [(1000 + k, "http://hot.example/", f"<div>{own(1000)}</div>") for k in range(30)]  # equal pages
+    rows += [(2000, "http://cold.example/", f"<div>{few[0]}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.report(pages).collect()}
+    assert all(got[k] == own(k) for k in range(200))
+    assert {got[1000 + k] for k in range(30)} == {own(1000)} and got[2000] == few[0]
+    monkeypatch.setattr(html, "PAGES", 512)
+    assert {r.page_id: r.text for r in html.report(pages).collect()} == got
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
