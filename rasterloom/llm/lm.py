@@ -22,8 +22,8 @@ from rasterloom.llm.common import checkpointed, texts
 SIDE, VALUES, EMBED, HIDDEN = 2, 257, 12, 32
 #: Shards that train copies, rounds of averaging, windows of a step, and steps of a round at least.
 SHARDS, ROUNDS, STEP, LEAST_STEPS = 8, 4, 2048, 150
-#: Distinct windows of a shard at most, about.
-LARGEST = 4_000_000
+#: Occurrences that a place in a pass stands for at most; places of a shard at most, about.
+PLACE, LARGEST = 64, 4_000_000
 #: Bytes of the texts that are handled together; windows whose scores a worker remembers.
 TOGETHER, REMEMBERED = 1 << 22, 3_000_000
 Weights = dict[str, np.ndarray]
@@ -92,46 +92,63 @@ def forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradient(w: Weights, key: np.ndarray) -> Weights:
-    """The gradient of the mean loss over windows."""
+def gradient(w: Weights, key: np.ndarray, weight: np.ndarray | None = None) -> Weights:
+    """The gradient of the mean loss over windows, each times its weight if there are any."""
     around, masked = digits(key)
     x, h, logp = forward(w, around)
     dz = np.exp(logp)
     dz[np.arange(len(key)), masked] -= 1
     dz /= np.float32(len(key))
+    if weight is not None:
+        dz *= weight[:, None]
     dh = (dz @ w["o"].T) * (1 - h * h)
     de = np.zeros_like(w["e"])
     np.add.at(de, around, (dh @ w["h"].T).reshape(*around.shape, EMBED))
     return {"e": de, "h": x.T @ dh, "hb": dh.sum(0), "o": h.T @ dz, "ob": dz.sum(0)}
 
 
+def places(n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a pass in random order, and their weights, whose mean is 1.
+
+    A window has a place for each ``PLACE`` of its ``n`` occurrences, one at least, and as much weight
+    in all as it occurs.
+    """
+    times = np.ceil(n / PLACE).astype(np.int64)
+    at = rng.permutation(np.repeat(np.arange(len(n)), times))
+    return at, ((n / times)[at] * (len(at) / n.sum())).astype(np.float32)
+
+
 def trained(w: Weights, key: np.ndarray, n: np.ndarray, rate: float, seed: int) -> Weights:
-    """Weights after steps of Adam over a shard, whose windows are drawn as often as they occur.
+    """Weights after steps of Adam over a shard: a full pass over all its windows, weighted by how often they occur.
 
-    There are as many steps as the shard's distinct windows fill, ``LEAST_STEPS`` at least.
+    Steps grow with the occurrences. A shard that fills less than ``LEAST_STEPS`` steps is passed over more than once.
     """
     rng = np.random.default_rng(seed)
     w = {k: v.copy() for k, v in w.items()}
     one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    below, steps = np.cumsum(n), max(LEAST_STEPS, -(-len(key) // STEP))
-    for t in range(1, steps + 1):
-        at = np.searchsorted(below, rng.random(STEP) * below[-1], side="right")
-        for k, g in gradient(w, key[np.minimum(at, len(key) - 1)]).items():
-            one[k] += 0.1 * (g - one[k])
-            two[k] += 0.01 * (g * g - two[k])
-            w[k] -= np.float32(rate * (1 - 0.9 * t / steps)) * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-7)
+    each = -(-int(np.ceil(n / PLACE).sum()) // STEP)
+    passes, t = -(-LEAST_STEPS // each), 0
+    steps = passes * each
+    for _ in range(passes):
+        at, weight = places(n, rng)
+        for lo in range(0, len(at), STEP):
+            t += 1
+            for k, g in gradient(w, key[at[lo : lo + STEP]], weight[lo : lo + STEP]).items():
+                one[k] += 0.1 * (g - one[k])
+                two[k] += 0.01 * (g * g - two[k])
+                w[k] -= np.float32(rate * (1 - 0.9 * t / steps)) * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-7)
     return w
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> Weights:
     """Train on all windows of the corpus.
 
-    There are ``shards`` shards, or more so that none holds much over ``LARGEST`` distinct windows,
-    whose number levels off as a corpus grows. The driver gets a set of weights, of some 80 KB, from
+    There are ``shards`` shards, or more so that none makes much over ``LARGEST`` places of a pass;
+    each round passes over all of them. The driver gets a set of weights, of some 80 KB, from
     each shard a round.
     """
     counts = checkpointed(counted(docs))
-    shards = max(shards, -(-counts.count() // LARGEST))
+    shards = max(shards, -(-(counts.agg(F.sum(F.ceil(F.col("n") / PLACE))).first()[0] or 0) // LARGEST))
     table = checkpointed(counts.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "window"))
     w = fresh()
     names = list(w)

@@ -295,6 +295,30 @@ def test_lm_scores(spark, docs, none):
     assert lm.scored(none, lm.fit(none)).count() == 0
 
 
+def test_lm_rounds_pass_over_all_windows(monkeypatch):
+    seen, plain = {}, lm.gradient
+
+    def noted(w, key, *weight):
+        for k, x in zip(key.tolist(), weight[0].tolist() if weight else [1.0] * len(key)):
+            seen[k] = seen.get(k, 0) + x
+        noted.steps += 1
+        return plain(w, key, *weight)
+
+    monkeypatch.setattr(lm, "gradient", noted)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    key = np.unique(lm.windows([prose(4000, 5).encode()]))
+    n = np.r_[np.full(len(key) - 1, 1.0), 50_000.0]
+    steps = []
+    for times in (1, 100):
+        noted.steps = 0
+        seen.clear()
+        lm.trained(lm.fresh(), key, n * times, 0.02, 1)
+        steps.append(noted.steps)
+        share = np.array([seen.get(k, 0.0) for k in key.tolist()]) / sum(seen.values())
+        assert share == pytest.approx(n / n.sum(), rel=1e-3)
+    assert steps[1] > 10 * steps[0]
+
+
 # 7
 def toxic_set(n=240):
     r = random.Random(3)
