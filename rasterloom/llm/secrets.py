@@ -1,8 +1,8 @@
 """Secret scans: patterns of credentials, and strings that a tokenizer spends many tokens on.
 
 Random strings have few characters per token of a vocabulary made from prose. A run of credential
-letters with both digits and letters is a secret if it has fewer than ``max_ratio`` characters per
-token, unless it is a known digest or identifier.
+letters, or what the patterns leave of it, is a secret if it has fewer than ``max_ratio`` characters
+per token, unless it is a known digest or identifier.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 #: Hexadecimal digits of MD5 and SHA-1, SHA-224 to SHA-512.
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 ONE_CASE_HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9+/_=-]+|sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 #: A run beyond this length is judged by pieces, which bounds the tokenizer's work on a word.
 PIECE = 512
+#: Characters of a run, and of the least remainder of a random run, that are judged.
+WHOLE, REST = 20, 4
 
 CODERS: dict[str, object] = {}
 
@@ -61,14 +62,29 @@ def spans(text: str, vocab_path: str, max_ratio: float) -> list[tuple[int, int,
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(found)
-    for m in RUN.finditer(text):
-        run = m[0]
-        if not MIXED.match(run) or known(run) or any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
+    base = sorted((a, b) for a, _, b in found)
+
+    def random(run: str) -> bool:
         n = sum(len(coder(vocab_path).encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
-        if len(run) < max_ratio * n:
-            found.append((m.start(), 3, m.end()))
+        return not known(run) and len(run) < max_ratio * n
+
+    first = 0
+    for m in RUN.finditer(text):
+        while first < len(base) and base[first][1] <= m.start():
+            first += 1
+        parts, at = [], m.start()
+        for a, b in base[first:]:
+            if a >= m.end():
+                break
+            if a > at:
+                parts.append((at, a))
+            at = max(at, b)
+        if at < m.end():
+            parts.append((at, m.end()))
+        for a, b in parts:
+            if b - a >= WHOLE or b - a >= REST and random(m[0]):
+                if random(text[a:b]):
+                    found.append((a, 3, b))
     return sorted(found)
 
 
