@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from xxhash import xxh64_intdigest
 
 from rasterloom.llm.common import checkpointed, texts
@@ -153,6 +154,14 @@ def links(fps: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
     return dealt.repartition("n", "held", "way").sortWithinPartitions("n", "held", "way").mapInArrow(run, "a long, b long")
 
 
+def rooted(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of each row, and ``fp, head, root`` of each fingerprint: its least id, and the fingerprint that stands for its component."""
+    fps = checkpointed(fingerprints(docs, shingle))
+    heads = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    roots = components(links(heads, bits))
+    return fps, heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id`` of each row; the last is the least ``doc_id`` that links lead to.
 
@@ -160,12 +169,9 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     Equal rows have equal components. A component whose ids are all null has a null id. Copies are
     gathered to one fingerprint first, so a large group of them costs as much as one.
     """
-    fps = checkpointed(fingerprints(docs, shingle))
-    heads = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("head")))
-    roots = components(links(heads, bits))
-    rooted = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    fps, own = rooted(docs, bits, shingle)
+    least = own.groupBy("root").agg(F.min("head").alias("component_id"))
+    return fps.join(own.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -173,8 +179,30 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: of its least id, nulls last, the least fingerprint.
+
+    Components without an id, and those whose least id another row has too, keep a row as well; for
+    them rows are told by id and fingerprint, which are only made again if there are any.
+    """
+    fps, own = rooted(docs)
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "fp")).alias("k"))
+    kept = checkpointed(first.select(F.col("k.head").alias("_head"), F.col("k.fp").alias("_fp")))
+    often = fps.join(kept.select(F.col("_head").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
+    if kept.where("_head IS NULL").isEmpty() and often.isEmpty():
+        return docs.join(kept, F.col("doc_id") == F.col("_head"), "left_semi")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py() or "") for t in batch.column(schema.names.index("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*schema.names, "_own"])
+
+    marked = docs.mapInArrow(run, StructType([*schema.fields]).add("_own", LongType()))
+    found = marked.join(kept, (F.col("_own") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_own"]).drop("_own")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its least ``doc_id``. Rows that share an id count as one document."""
-    kept = checkpointed(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count())
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of ``representatives`` that have an id, one of each; those that share an id count as one document."""
+    return representatives(docs).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

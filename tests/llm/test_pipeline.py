@@ -60,3 +60,10 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_is_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run and (corpus_pipeline.ORACLE_SQL is None) == ("pipeline" not in entry.oracle_sql())
+
+
+def test_pipeline_keeps_documents_without_an_id(spark):
+    rows = [(None, "one text that has no id at all"), (None, "one text that has no id at all"), (None, "and quite another of them here"), (1, "a text with its own id there"), (1, "different words under the same id"), (2, "a text with its own id there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_copies(spark, docs, "").collect()
+    assert sorted(r.text for r in got) == sorted({t for _, t in rows}) and [r.doc_id for r in got].count(None) == 2
