@@ -1,12 +1,13 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``bits`` bits are equal in at least ``8 - bits`` of
-their 8 bytes: the guaranteed number of matches. Postings are kept by three positional bytes at a
-time; a covering of the byte positions by such triples lets every four equal positions contain one
-of them, so that no pair is missed. Pairs that meet in a posting are kept if the tally of their
-shared positional bytes reaches the guaranteed number, and verified by the bits that differ.
+their 8 bytes: the guaranteed number of matches. Fingerprints are dealt out by three positional bytes
+at a time; a covering of the byte positions by such triples lets every four equal positions contain
+one of them, so that no pair is missed. Those that meet are posted by each of their positional bytes.
+A fingerprint's lists are tallied: members that reach the guaranteed number are candidates, and only
+these are verified by the bits that differ.
 
-A posting yields the links of a spanning forest, never all its pairs.
+A group yields the links of a spanning forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from rasterloom.llm.common import checkpointed, texts
 from rasterloom.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
-#: Fingerprints of a posting that one task compares; larger postings are dealt out by pairs of parts.
+#: Fingerprints that one task compares at once; larger groups are dealt out by pairs of parts.
 PART = 4096
-#: Postings up to so many are compared by shifted columns, larger ones by search from member to member.
+#: Groups up to so many are tallied pair by pair in shifted columns, larger ones by postings, from member to member.
 FEW = 8
 
 
@@ -68,31 +69,54 @@ def covering(positions: int = 8) -> list[tuple[int, ...]]:
     return out
 
 
+def positional(fps: np.ndarray) -> np.ndarray:
+    """The eight bytes of fingerprints, by position."""
+    return np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
+
+
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes the pairs of fingerprints share."""
+    return (positional(a) == positional(b)).sum(1)
+
+
 def verified(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Which pairs share enough positional bytes, and differ in few enough bits."""
-    differ = np.ascontiguousarray(a ^ b)
-    enough = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(-1) >= 8 - bits
-    enough[enough] = np.bitwise_count(differ[enough]) <= bits
+    """Which pairs share enough positional bytes, and of these differ in few enough bits."""
+    enough = tallied(a, b) >= 8 - bits
+    enough[enough] = np.bitwise_count(a[enough] ^ b[enough]) <= bits
     return enough
 
 
-def forest(fps: np.ndarray, bits: int = BITS) -> Iterator[tuple[int, int]]:
-    """A link from each fingerprint to the least that it is connected with, among ``fps``.
+class Postings:
+    """Lists of fingerprints by positional byte."""
 
-    From a member all that are near and not yet reached are taken out at once, so a dense group
-    costs a pass for each of few members.
-    """
-    rest = np.sort(fps)
-    while len(rest) > 1:
-        least, front, rest = rest[0], rest[:1], rest[1:]
-        while len(front) and len(rest):
-            near = np.zeros(len(rest), bool)
-            for f in front[:32]:
-                left = np.flatnonzero(~near)
-                near[left[np.bitwise_count(rest[left] ^ f) <= bits]] = True
-            reached = rest[near]
-            yield from ((int(x), int(least)) for x in reached)
-            front, rest = np.concatenate([front[32:], reached]), rest[~near]
+    def __init__(self, fps: np.ndarray):
+        self.size, self.bytes = len(fps), positional(fps)
+        self.order = np.argsort(self.bytes, axis=0, kind="stable")
+        self.starts = [np.searchsorted(self.bytes[self.order[:, k], k], np.arange(257)) for k in range(8)]
+
+    def candidates(self, k: int, least: int) -> np.ndarray:
+        """Members that share ``least`` positional bytes or more with member ``k``, itself included, by a tally over its lists."""
+        lists = [self.order[self.starts[p][v] : self.starts[p][v + 1], p] for p, v in enumerate(self.bytes[k].tolist())]
+        return np.flatnonzero(np.bincount(np.concatenate(lists), minlength=self.size) >= least)
+
+
+def forest(fps: np.ndarray, bits: int = BITS) -> Iterator[tuple[int, int]]:
+    """A link from each fingerprint to the least that it is connected with, among ``fps``; each is looked up once."""
+    fps = np.unique(fps)
+    postings, rest = Postings(fps), np.ones(len(fps), bool)
+    for first in range(len(fps)):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        front = [first]
+        while front:
+            k = front.pop()
+            found = postings.candidates(k, 8 - bits)
+            found = found[rest[found]]
+            found = found[np.bitwise_count(fps[found] ^ fps[k]) <= bits]
+            rest[found] = False
+            front += found.tolist()
+            yield from ((x, int(fps[first])) for x in fps[found].tolist())
 
 
 def links_of(key: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[list[int], list[int]]:
@@ -119,7 +143,7 @@ def links_of(key: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[list[i
 def links(fps: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``fp``, which connect all that are within ``bits`` bits of another.
 
-    A posting with more than ``part`` fingerprints is cut into parts by hash, and each pair of parts
+    A group with more than ``part`` fingerprints is cut into parts by hash, and each pair of parts
     is compared for itself, in tasks of about twice ``part`` fingerprints.
     """
     masks = [sum(0xFF << 8 * k for k in t) for t in covering()]
@@ -155,11 +179,15 @@ def links(fps: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
 
 
 def rooted(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` of each row, and ``fp, head, root`` of each fingerprint: its least id, and the fingerprint that stands for its component."""
+    """``doc_id, fp`` of each row, and ``fp, root`` of each fingerprint: the least of its component by id, nulls last, as ``none, head, fp``."""
     fps = checkpointed(fingerprints(docs, shingle))
     heads = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("head")))
-    roots = components(links(heads, bits))
-    return fps, heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    named = heads.select("fp", F.struct(F.col("head").isNull().alias("none"), "head", "fp").alias("node"))
+    edges = links(heads, bits)
+    for end in ("a", "b"):
+        edges = edges.join(named.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    roots = components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    return fps, named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -170,8 +198,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     gathered to one fingerprint first, so a large group of them costs as much as one.
     """
     fps, own = rooted(docs, bits, shingle)
-    least = own.groupBy("root").agg(F.min("head").alias("component_id"))
-    return fps.join(own.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(own.select("fp", F.col("root.head").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -186,8 +213,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     them rows are told by id and fingerprint, which are only made again if there are any.
     """
     fps, own = rooted(docs)
-    first = own.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "fp")).alias("k"))
-    kept = checkpointed(first.select(F.col("k.head").alias("_head"), F.col("k.fp").alias("_fp")))
+    kept = checkpointed(own.where(F.col("fp") == F.col("root.fp")).select(F.col("root.head").alias("_head"), F.col("fp").alias("_fp")))
     often = fps.join(kept.select(F.col("_head").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
     if kept.where("_head IS NULL").isEmpty() and often.isEmpty():
         return docs.join(kept, F.col("doc_id") == F.col("_head"), "left_semi")
