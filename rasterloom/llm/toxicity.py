@@ -26,9 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from xxhash import xxh64_intdigest
 
 from rasterloom.llm.common import texts
 
@@ -41,8 +43,10 @@ LETTERS, START, FINISH = 32, 30, 31
 WHOLE = 16
 #: Labelled documents of each class that training looks at, at most, and landmarks.
 TOXIC_DOCS, CLEAN_DOCS, LANDMARKS = 1000, 2000, 256
-#: Words of clean documents that training looks at, drawn and again by how toxic they seem, at most.
+#: Words of clean documents that training looks at, drawn and again in each round by how toxic they seem, at most.
 CLEAN_WORDS, HARD_WORDS = 10_000, 6_000
+#: Distinct windows of a labelled document that training looks at, at most; words that are handled together.
+DOC_WORDS, BLOCK = 4000, 4096
 #: Words that a worker remembers the margin of before it starts anew.
 MOST_KEPT = 120_000
 FLOOR = -2.0
@@ -75,7 +79,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in ``words`` and their codes, for each length, by blocks."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
-        for at in np.array_split(np.flatnonzero(lengths == n), 1 + (lengths == n).sum() // 4096):
+        for at in np.array_split(np.flatnonzero(lengths == n), 1 + (lengths == n).sum() // BLOCK):
             yield at, codes([words[k] for k in at])
 
 
@@ -108,17 +112,23 @@ def kernel(a: str, b: str) -> float:
 
 @dataclass
 class Machine:
-    """A trained machine: a weight for each letter triple, and how a margin becomes a score."""
+    """A trained machine: a weight for each letter triple, how a margin becomes a score, and the landmarks with their factors, which the weights equal."""
 
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
+    landmarks: list[str]
+    factors: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The margin of each word, which has three letters at least."""
-        out = np.zeros(len(words))
-        for at, code in by_length(words):
+        return self.of(len(words), by_length(words))
+
+    def of(self, size: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The margins of ``size`` words, whose places and codes come by blocks."""
+        out = np.zeros(size)
+        for at, code in blocks:
             total = np.zeros(len(at))
             for weight, number in triples(code):
                 total += weight * self.weights[number]
@@ -142,15 +152,26 @@ class Machine:
         return np.array([max(FLOOR, max(map(of, bag), default=FLOOR)) for bag in bags])
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the last one the bias) of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w, flat = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+def squared_hinge(parts: list[tuple[np.ndarray, float, np.ndarray]], ridge: float = 1.0) -> np.ndarray:
+    """Weights (the last one the bias) of a linear machine with squared hinge loss, by Newton steps.
+
+    Each part has rows of features, the class (1 or -1) of all of them, and their costs. Sums are made
+    by blocks of rows, so that no copy of the features is held.
+    """
+    size = parts[0][0].shape[1] + 1
+    w, flat = np.zeros(size), ridge * np.eye(size)
     flat[-1, -1] = 1e-6
     for _ in range(25):
-        on = y * (x @ w) < 1
-        xs, c = x[on], cost[on]
-        step = np.linalg.solve((xs * c[:, None]).T @ xs + flat, xs.T @ (c * y[on]))
+        gram, right = flat.copy(), np.zeros(size)
+        for x, sign, cost in parts:
+            for lo in range(0, len(x), BLOCK):
+                z = np.ones((len(x[lo : lo + BLOCK]), size))
+                z[:, :-1] = x[lo : lo + BLOCK]
+                on = sign * (z @ w) < 1
+                z, c = z[on], cost[lo : lo + BLOCK][on]
+                gram += (z * c[:, None]).T @ z
+                right += sign * (c @ z)
+        step = np.linalg.solve(gram, right)
         if np.abs(step - w).max() < 1e-6:
             break
         w = step
@@ -169,108 +190,158 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(bags: list[list[str]], toxic: list[int], rounds: int = 4, seed: int = 7) -> Machine | None:
+@dataclass
+class Bags:
+    """Labelled documents as bags of words: the distinct words, the words' numbers of one document after the other, where each ends, and which are toxic."""
+
+    words: list[str]
+    at: np.ndarray
+    ends: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, lists: pa.ListArray, toxic: list[int]) -> Bags:
+        """From an array that lists the words of each document."""
+        held = lists.flatten().dictionary_encode()
+        words = np.array(held.dictionary.to_pylist(), object)
+        order = np.argsort(words, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        return cls(words[order].tolist(), number[held.indices.to_numpy()], np.cumsum(pc.list_value_length(lists).to_numpy()), np.array(toxic))
+
+
+def bag(text: str, most: int) -> list[str]:
+    """The distinct windows of a text's words; of more than ``most`` those that come first by hash."""
+    found = {p for w in set(words_of(text)) for p in windows(w)}
+    return sorted(found, key=lambda p: (xxh64_intdigest(p.encode("utf-8", "surrogatepass")), p))[:most] if len(found) > most else sorted(found)
+
+
+class Coded:
+    """The codes of words by number, those of one length as rows of a matrix."""
+
+    def __init__(self, words: list[str]):
+        self.length = np.fromiter(map(len, words), np.int32, len(words))
+        self.row = np.zeros(len(words), np.int32)
+        self.codes: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            self.row[at] = np.arange(len(at))
+            self.codes[n] = np.concatenate([codes([words[k] for k in part]).astype(np.uint8) for part in np.array_split(at, 1 + len(at) // BLOCK)])
+
+    def blocks(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``chosen``, numbers of words, and their codes, for each length."""
+        length = self.length[chosen]
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            for lo in range(0, len(at), BLOCK):
+                part = at[lo : lo + BLOCK]
+                yield part, self.codes[n][self.row[chosen[part]]].astype(np.int64)
+
+
+def fit(bags: Bags, rounds: int = 4, seed: int = 7, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS) -> Machine | None:
     """Train on bags of words and their labels; none if there is no word to tell toxic bags by.
 
     A quarter of the bags is kept for the logistic function. Toxic bags without a credible witness
-    count as wrongly labelled and are left out of the machine, not of the logistic function.
+    count as wrongly labelled and are left out of the machine, not of the logistic function. Of the
+    words of clean bags ``clean_words`` are drawn, and in each round ``hard_words`` at most are added
+    of those that seem toxic. Features are held once, in single precision.
     """
     rng = np.random.default_rng(seed)
-    sets = [sorted({p for w in bag for p in windows(w)}) for bag in bags]
-    label, train = np.array(toxic), rng.random(len(bags)) < 0.75
-    count = [Counter(), Counter()]
-    total = [0, 0]
-    for s, y, on in zip(sets, toxic, train):
-        if on:
-            count[y].update(s)
-            total[y] += 1
-    if not total[0] or not total[1]:
+    n, size = len(bags.toxic), len(bags.words)
+    train = rng.random(n) < 0.75
+    doc = np.repeat(np.arange(n), np.diff(bags.ends, prepend=0))
+    total = [int((train & (bags.toxic == y)).sum()) for y in (0, 1)]
+    if not all(total) or not size:
         return None
-    gain = {w: np.log(n / total[1] / ((count[0][w] + 0.5) / (total[0] + 1))) for w, n in count[1].items() if n >= 3}
+    on_toxic = bags.at[(train & (bags.toxic == 1))[doc]]
+    of_clean = np.bincount(bags.at[(train & (bags.toxic == 0))[doc]], minlength=size)
+    of_toxic = np.bincount(on_toxic, minlength=size)
+    gain = np.where(of_toxic >= 3, np.log(np.maximum(of_toxic, 1) / total[1] / ((of_clean + 0.5) / (total[0] + 1))), -np.inf)
     bound = max(2.0, np.log(4 * total[0] / total[1] / 3)) if total[0] > total[1] else 2.0
-    credible = {w for w, g in gain.items() if g > bound and count[1][w] >= 3}
-    if not credible:
+    credible = gain > bound
+    every = np.flatnonzero(of_clean)
+    if not credible.any() or not len(every):
         return None
-    every = sorted(count[0])
-    clean = every
-    if len(clean) > CLEAN_WORDS:
-        clean = [every[k] for k in np.sort(rng.choice(len(every), CLEAN_WORDS, replace=False))]
-    often = sorted(credible, key=lambda w: (-count[1][w], w))
-    marks = often[: LANDMARKS // 2]
-    marks += [clean[k] for k in np.sort(rng.choice(len(clean), min(LANDMARKS - len(marks), len(clean)), replace=False))]
+    coded = Coded(bags.words)
+    clean = every if len(every) <= clean_words else np.sort(rng.choice(every, clean_words, replace=False))
+    often = np.flatnonzero(credible)
+    often = often[np.argsort(-of_toxic[often], kind="stable")][: LANDMARKS // 2]
+    marks = np.r_[often, np.sort(rng.choice(clean, min(LANDMARKS - len(often), len(clean)), replace=False))]
     table = np.zeros((LETTERS**3, len(marks)), np.float32)
-    for at, code in by_length(marks):
+    for at, code in coded.blocks(marks):
         for weight, number in triples(code):
             table[number, at] += np.float32(weight)
     value, vector = np.linalg.eigh((table.T @ table).astype(float))
     on = value > 1e-4 * value.max()
-    root = vector[:, on] / np.sqrt(value[on])
+    root = (vector[:, on] / np.sqrt(value[on])).astype(np.float32)
 
-    def features(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), root.shape[1]))
-        for at, code in by_length(words):
+    def features(words: np.ndarray) -> np.ndarray:
+        out = np.empty((len(words), root.shape[1]), np.float32)
+        for at, code in coded.blocks(words):
             held = np.zeros((len(at), len(marks)), np.float32)
             for weight, number in triples(code):
                 held += np.float32(weight) * table[number]
             out[at] = held @ root
         return out
 
-    negatives = features(clean)
-    taken = set(clean)
-    bag_words = [s for s, y, on in zip(sets, toxic, train) if on and y]
-    chosen = [[w for w in s if w in credible] for s in bag_words]
-    spoken = sorted({w for s in bag_words for w in s if count[1][w] >= 2 and w not in count[0]} | credible)
+    negatives, taken = [features(clean)], credible.copy()
+    taken[clean] = True
+    witness, spoken = credible, credible | (of_toxic >= 2) & (of_clean == 0)
     machine = None
     for _ in range(rounds):
-        tally = Counter(w for ws in chosen for w in ws)
-        if not tally:
+        tally = np.bincount(on_toxic[witness[on_toxic]], minlength=size)
+        positives = np.flatnonzero(tally)
+        if not len(positives):
             break
-        positives = sorted(tally)
-        x = np.r_[features(positives), negatives]
-        y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-        held = np.sqrt([tally[w] for w in positives])
-        w = squared_hinge(x, y, np.r_[held * 0.2 * len(negatives) / held.sum(), np.ones(len(negatives))])
-        machine = Machine((table @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
-        margin = dict(zip(spoken, machine.margins(spoken).tolist()))
-        chosen = [[w for w in s if margin.get(w, FLOOR) > 0] for s in bag_words]
-        near = machine.margins(every)
-        hard = [every[k] for k in np.argsort(-near, kind="stable")[:HARD_WORDS] if near[k] > -0.9 and every[k] not in taken and every[k] not in credible]
-        taken.update(hard)
-        negatives = np.r_[negatives, features(hard)]
+        held = np.sqrt(tally[positives])
+        cost = held * 0.2 * sum(map(len, negatives)) / held.sum()
+        w = squared_hinge([(features(positives), 1.0, cost), *((x, -1.0, np.ones(len(x))) for x in negatives)])
+        factors = root @ w[:-1].astype(np.float32)
+        machine = Machine((table @ factors).astype(np.float32), float(w[-1]), 1.0, 0.0, [bags.words[k] for k in marks], factors)
+        near = machine.of(size, coded.blocks(np.arange(size)))
+        witness = spoken & (near > 0)
+        hard = every[np.argsort(-near[every], kind="stable")[:hard_words]]
+        hard = hard[(near[hard] > -0.9) & ~taken[hard]]
+        taken[hard] = True
+        negatives.append(features(hard))
     if machine is None:
         return None
-    rest = [k for k in range(len(bags)) if not train[k]]
-    best = machine.best([" ".join(bags[k]) for k in rest], {})
-    if len(set(label[rest])) == 2:
-        machine.slope, machine.shift = logistic(best, label[rest])
+    best = np.full(n, FLOOR)
+    np.maximum.at(best, doc, near[bags.at])
+    rest = np.flatnonzero(~train)
+    if len(set(bags.toxic[rest])) == 2:
+        machine.slope, machine.shift = logistic(best[rest], bags.toxic[rest])
     else:
         machine.slope = 4.0
     return machine
 
 
-def sampled(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> tuple[list[list[str]], list[int]]:
+def sampled(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, doc_words: int = DOC_WORDS) -> Bags:
     """Bags of words and labels of at most so many documents of each class, none of them held out.
 
-    The ids that come first by hash are taken; null labels and ids are left out. What is broadcast
-    and what the driver gets are bounded by the two numbers.
+    The ids that come first by hash are taken; null labels and ids are left out. An id with both
+    labels counts as toxic, and of rows that share an id the least text is taken. Of a bag with more
+    than ``doc_words`` distinct windows those that come first by hash are taken. What is broadcast and
+    what the driver gets are bounded by the three numbers.
     """
     named = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
-    named = named.where(~held_out(F.col("_id"))).dropDuplicates(["_id"])
+    named = named.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     few = [named.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, toxic_docs), (0, clean_docs))]
     rows = [(r[0], int(r[1])) for df in few for r in df.collect()]
     if not rows:
-        return [], []
+        return Bags([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     marked = F.broadcast(docs.sparkSession.createDataFrame(rows, f"_id {dict(labels.dtypes)['doc_id']}, _toxic int"))
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [sorted(set(words_of(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "words": pa.array(bags, pa.list_(pa.string())), "toxic": batch.column(2)})
+            bags = [bag(t.as_py(), doc_words) for t in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"words": pa.array(bags, pa.list_(pa.string())), "toxic": batch.column(1), "place": batch.column(2)})
 
-    found = texts(docs).join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
-    got = sorted((r.doc_id, r.words, r.toxic) for r in found.mapInArrow(run, f"doc_id {kind}, words array<string>, toxic int").collect())
-    return [r[1] for r in got], [r[2] for r in got]
+    found = texts(docs).join(marked, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic"))
+    found = found.select("text", "_toxic", F.xxhash64("_id"))
+    got = found.mapInArrow(run, "words array<string>, toxic int, place long").toArrow().sort_by("place").combine_chunks()
+    lists = got["words"].chunk(0) if got.num_rows else pa.array([], pa.list_(pa.string()))
+    return Bags.of(lists, got["toxic"].to_pylist())
 
 
 def held_out(doc_id):
@@ -280,8 +351,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """A machine from the labelled documents that aren't held out; none if they can't tell toxic from clean."""
-    bags, toxic = sampled(docs, labels)
-    return fit(bags, toxic)
+    return fit(sampled(docs, labels))
 
 
 def scored(docs: DataFrame, machine: Machine | None, out: str = "score") -> DataFrame:
@@ -319,5 +389,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that are predicted toxic."""
-    return scored(docs, train(docs, labels), "_toxicity_score").where("_toxicity_score < 0.5").drop("_toxicity_score")
+    """``docs`` without those that are predicted toxic; all columns and other rows stay as they were."""
+    name = "_toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels), name).where(F.col(name) < 0.5).drop(name)
