@@ -1,15 +1,23 @@
-"""Masked pseudo-likelihood: a window network that predicts every token from both sides.
+"""Masked pseudo-likelihood: a window network that predicts every word from both sides.
 
-Tokens are the bytes of the text. A small network in numpy reads the ``SIDE`` tokens on each side of
-a masked one and gives the log-probabilities of its value; their sum over a document's tokens is the
-document's score. The network is trained on the counts of all windows of the whole corpus: windows
-are counted where the text is and summed by a shuffle, and each shard of the count table trains a
-copy of the network, whose weights are averaged after each round.
+Tokens are words. Frequent ones have a number of their own, in the order of how often they occur;
+all others share numbers by hash. A small network in numpy reads the ``SIDE`` words on each side of a
+masked one and gives the log-probability of its number, as that of its class of numbers and of the
+member in the class. Which of the words of a shared number it is has the probability of its spelling,
+from counts of neighbouring bytes. The sum over a document's words is its score.
+
+Counts of words and of neighbouring bytes are of the whole corpus. Training passes over every window
+of the corpus once: in each round each task takes a part of its documents where they are read and
+trains a copy of the network, and the copies are averaged by a shuffle. No text is moved.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,208 +26,302 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import checkpointed, texts
 
-#: Tokens seen on each side, values of a token (0 stands for what is beyond the text), sizes of the layers.
-SIDE, VALUES, EMBED, HIDDEN = 2, 257, 12, 32
-#: Shards that train copies, rounds of averaging, windows of a step, and steps of a round at least.
-SHARDS, ROUNDS, STEP, LEAST_STEPS = 8, 4, 2048, 150
-#: Occurrences that a place in a pass stands for at most; places of a shard at most, about.
-PLACE, LARGEST = 64, 4_000_000
-#: Bytes of the texts that are handled together; windows whose scores a worker remembers.
-TOGETHER, REMEMBERED = 1 << 22, 3_000_000
+#: Words seen on each side, classes and members of a class, numbers that are shared, sizes of the layers.
+SIDE, CLASSES, MEMBERS, SHARED, EMBED, HIDDEN = 3, 40, 50, 256, 12, 24
+#: Numbers: 0 is what is beyond the text, then frequent words, then the shared ones.
+NUMBERS = CLASSES * MEMBERS
+FREQUENT = NUMBERS - SHARED - 1
+#: Rounds of averaging, windows of a step at most and at least, steps that a round is cut to if it has few windows.
+ROUNDS, STEP, LEAST_STEP, STEPS = 4, 8192, 256, 48
+#: Windows that are drawn from in random order, and handled at once when texts are scored.
+SHUFFLED, SCORED = 1 << 17, 1 << 15
+#: Bytes of texts that are handled together; distinct words that a task counts before it passes them on.
+TOGETHER, HELD = 1 << 22, 300_000
 Weights = dict[str, np.ndarray]
 
 
-def windows(raw: list[bytes]) -> np.ndarray:
-    """A number for the window of each token of each text, the masked token in the lowest digit."""
-    gap = np.zeros(SIDE, np.int64)
-    parts = [gap]
-    for r in raw:
-        parts += [np.frombuffer(r, np.uint8).astype(np.int64) + 1, gap]
-    flat = np.concatenate(parts)
-    at = np.flatnonzero(flat)
-    key = np.zeros(len(at), np.int64)
-    for step in [*range(-SIDE, 0), *range(1, SIDE + 1), 0]:
-        key = key * VALUES + flat[at + step]
-    return key
+def words_of(text: str) -> list[bytes]:
+    """The words of a text: what ASCII white space leaves."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Keys and texts of a batch, by blocks of about ``TOGETHER`` bytes."""
-    start, held, size = 0, [], 0
-    for k, value in enumerate(batch.column(1)):
-        held.append(value.as_py().encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size >= TOGETHER or k == batch.num_rows - 1:
-            yield batch.column(0).slice(start, len(held)), held
-            start, held, size = k + 1, [], 0
+def blocks(column: pa.Array) -> Iterator[list[list[bytes]]]:
+    """The words of each text, by blocks of about ``TOGETHER`` bytes."""
+    held, size = [], 0
+    for k, value in enumerate(column):
+        held.append(words_of(value.as_py()))
+        size += value.as_buffer().size
+        if size >= TOGETHER or k == len(column) - 1:
+            yield held
+            held, size = [], 0
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``window, n``: how often each window occurs in the corpus. Null and empty texts have none."""
+    """``word, n``: how often each word occurs in the corpus. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, raw in blocks(batch):
-                key, n = np.unique(windows(raw), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"window": pa.array(key), "n": pa.array(n.astype(np.int64))})
-
-    return texts(docs).mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+        held: Counter = Counter()
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
 
-def fresh(seed: int = 3) -> Weights:
-    """Weights to begin with."""
-    rng = np.random.default_rng(seed)
-    wide = 2 * SIDE * EMBED
-    draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-    return {"e": draw(VALUES, EMBED), "h": draw(wide, HIDDEN), "hb": np.zeros(HIDDEN, np.float32), "o": draw(HIDDEN, VALUES), "ob": np.zeros(VALUES, np.float32)}
-
-
-def digits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens around, by column, and the masked token of windows."""
-    masked, key, around = key % VALUES, key // VALUES, []
-    for _ in range(2 * SIDE):
-        around.append(key % VALUES)
-        key = key // VALUES
-    return np.stack(around[::-1], 1), masked
-
-
-def forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input, hidden layer and log-probabilities of all values."""
-    x = w["e"][around].reshape(len(around), -1)
-    h = np.tanh(x @ w["h"] + w["hb"])
-    z = h @ w["o"] + w["ob"]
-    z -= z.max(1, keepdims=True)
-    return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def gradient(w: Weights, key: np.ndarray, weight: np.ndarray | None = None) -> Weights:
-    """The gradient of the mean loss over windows, each times its weight if there are any."""
-    around, masked = digits(key)
-    x, h, logp = forward(w, around)
-    dz = np.exp(logp)
-    dz[np.arange(len(key)), masked] -= 1
-    dz /= np.float32(len(key))
-    if weight is not None:
-        dz *= weight[:, None]
-    dh = (dz @ w["o"].T) * (1 - h * h)
-    de = np.zeros_like(w["e"])
-    np.add.at(de, around, (dh @ w["h"].T).reshape(*around.shape, EMBED))
-    return {"e": de, "h": x.T @ dh, "hb": dh.sum(0), "o": h.T @ dz, "ob": dz.sum(0)}
-
-
-def places(n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of a pass in random order, and their weights, whose mean is 1.
-
-    A window has a place for each ``PLACE`` of its ``n`` occurrences, one at least, and as much weight
-    in all as it occurs.
-    """
-    times = np.ceil(n / PLACE).astype(np.int64)
-    at = rng.permutation(np.repeat(np.arange(len(n)), times))
-    return at, ((n / times)[at] * (len(at) / n.sum())).astype(np.float32)
-
-
-def trained(w: Weights, key: np.ndarray, n: np.ndarray, rate: float, seed: int) -> Weights:
-    """Weights after steps of Adam over a shard: a full pass over all its windows, weighted by how often they occur.
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                for words in block:
+                    held.update(words)
+                    if len(held) > HELD:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
+
+    return texts(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of frequent words, how often each number occurs, and log-probabilities of a byte after another (256 is a word's start and end)."""
+
+    numbers: dict[bytes, int]
+    counts: np.ndarray
+    spelling: np.ndarray
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """The log-probability of the spelling of words that share numbers."""
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        before = np.r_[256, raw[:-1]]
+        before[ends[:-1]] = 256
+        sums = np.r_[0.0, np.cumsum(self.spelling[before, raw])]
+        return sums[ends] - sums[ends - size] + self.spelling[raw[ends - 1], 256] + np.log(SHARED)
+
+    def flat(self, block: list[list[bytes]], spell: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts with ``SIDE`` zeros around each text, and the spelling's log-probability of each word."""
+        words = list(set().union(*block))
+        number = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int16, len(words))
+        rare = np.flatnonzero(number == 0)
+        own = np.zeros(len(words))
+        if len(rare):
+            others = [words[k] for k in rare.tolist()]
+            number[rare] = 1 + FREQUENT + np.fromiter(map(crc32, others), np.int64, len(others)) % SHARED
+            if spell:
+                own[rare] = self.spelled(others)
+        place = dict(zip(words, range(len(words)))).__getitem__
+        size = np.fromiter(map(len, block), np.int64, len(block))
+        every = np.fromiter(map(place, chain.from_iterable(block)), np.int64, size.sum())
+        out = np.zeros(len(every) + SIDE * (len(block) + 1), np.int16)
+        out[np.arange(len(every)) + SIDE * (1 + np.repeat(np.arange(len(block)), size))] = number[every]
+        return out, own[every]
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From the counts of all words; the driver gets the frequent words, the shared numbers' sums and the counts of neighbouring bytes."""
+    counts = checkpointed(counted(docs))
+    often = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
+    numbers = {bytes(r.word): k for k, r in enumerate(often, 1)}
+    sums = np.zeros(NUMBERS)
+    sums[1 : 1 + len(often)] = [r.n for r in often]
 
-    Steps grow with the occurrences. A shard that fills less than ``LEAST_STEPS`` steps is passed over more than once.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, shared = np.zeros(257 * 257), np.zeros(SHARED)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in numbers]
+            if rows:
+                raw = np.frombuffer(b"".join(w for w, _ in rows), np.uint8).astype(np.int64)
+                size = np.fromiter((len(w) for w, _ in rows), np.int64, len(rows))
+                n, ends = np.array([n for _, n in rows], float), np.cumsum(size)
+                before = np.r_[256, raw[:-1]]
+                before[ends[:-1]] = 256
+                pairs += np.bincount(before * 257 + raw, np.repeat(n, size), 257 * 257) + np.bincount(raw[ends - 1] * 257 + 256, n, 257 * 257)
+                shared += np.bincount([crc32(w) % SHARED for w, _ in rows], n, SHARED)
+        every = np.r_[pairs, shared]
+        at = np.flatnonzero(every)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(at), "n": pa.array(every[at].astype(np.int64))})
+
+    got = counts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    every = np.zeros(257 * 257 + SHARED)
+    every[[r.place for r in got]] = [r.n for r in got]
+    sums[1 + FREQUENT : 1 + FREQUENT + SHARED] = every[257 * 257 :]
+    pairs = every[: 257 * 257].reshape(257, 257) + 0.02
+    return Vocabulary(numbers, sums, np.log(pairs / pairs.sum(1, keepdims=True)))
+
+
+def fresh(counts: np.ndarray, seed: int = 3) -> Weights:
+    """Weights to begin with, which predict numbers by how often they occur."""
     rng = np.random.default_rng(seed)
-    w = {k: v.copy() for k, v in w.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    each = -(-int(np.ceil(n / PLACE).sum()) // STEP)
-    passes, t = -(-LEAST_STEPS // each), 0
-    steps = passes * each
-    for _ in range(passes):
-        at, weight = places(n, rng)
-        for lo in range(0, len(at), STEP):
-            t += 1
-            for k, g in gradient(w, key[at[lo : lo + STEP]], weight[lo : lo + STEP]).items():
-                one[k] += 0.1 * (g - one[k])
-                two[k] += 0.01 * (g * g - two[k])
-                w[k] -= np.float32(rate * (1 - 0.9 * t / steps)) * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-7)
-    return w
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> Weights:
-    """Train on all windows of the corpus.
-
-    There are ``shards`` shards, or more so that none makes much over ``LARGEST`` places of a pass;
-    each round passes over all of them. The driver gets a set of weights, of some 80 KB, from
-    each shard a round.
+    draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape).astype(np.float32)
+    n = (counts + 0.1).reshape(CLASSES, MEMBERS)
+    n[0, 0] = 1e-3
+    return {
+        "e": draw(NUMBERS, EMBED) * np.float32(np.sqrt(NUMBERS) * 0.3), "h": draw(2 * SIDE * EMBED, HIDDEN), "hb": np.zeros(HIDDEN, np.float32),
+        "c": draw(HIDDEN, CLASSES) * np.float32(0.1), "cb": np.log(n.sum(1) / n.sum()).astype(np.float32),
+        "m": draw(CLASSES, HIDDEN, MEMBERS) * np.float32(0.1), "mb": np.log(n / n.sum(1, keepdims=True)).astype(np.float32),
+    }
+
+
+def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers on both sides of places."""
+    return flat[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
+
+
+def logs(z: np.ndarray) -> np.ndarray:
+    """Log-probabilities from logits, by row."""
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def excess(z: np.ndarray, masked: np.ndarray, n: int) -> np.ndarray:
+    """The gradient by the logits of the loss summed over rows, divided by ``n``."""
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), masked] -= 1
+    z /= np.float32(n)
+    return z
+
+
+def by_class(masked: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each class of masked numbers that are ordered by it, and the rows of it."""
+    ends = np.cumsum(np.bincount(masked // MEMBERS, minlength=CLASSES)).tolist()
+    return ((k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi)
+
+
+def forward(w: Weights, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input and hidden layer."""
+    x = w["e"][sides].reshape(len(sides), -1)
+    return x, np.tanh(x @ w["h"] + w["hb"])
+
+
+def log_probs(w: Weights, sides: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """The log-probability of each masked number given the numbers on both sides."""
+    order = np.argsort(masked, kind="stable")
+    own = masked[order]
+    h = forward(w, sides[order])[1]
+    found = logs(h @ w["c"] + w["cb"])[np.arange(len(own)), own // MEMBERS]
+    for k, rows in by_class(own):
+        found[rows] += logs(h[rows] @ w["m"][k] + w["mb"][k])[np.arange(rows.stop - rows.start), own[rows] % MEMBERS]
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
+def gradient(w: Weights, sides: np.ndarray, masked: np.ndarray) -> Weights:
+    """The gradient of the mean loss over windows."""
+    n, order = len(masked), np.argsort(masked, kind="stable")
+    sides, masked = sides[order], masked[order]
+    x, h = forward(w, sides)
+    dz = excess(h @ w["c"] + w["cb"], masked // MEMBERS, n)
+    g = {"c": h.T @ dz, "cb": dz.sum(0), "m": np.zeros_like(w["m"]), "mb": np.zeros_like(w["mb"])}
+    dh = dz @ w["c"].T
+    for k, rows in by_class(masked):
+        dz = excess(h[rows] @ w["m"][k] + w["mb"][k], masked[rows] % MEMBERS, n)
+        g["m"][k], g["mb"][k] = h[rows].T @ dz, dz.sum(0)
+        dh[rows] += dz @ w["m"][k].T
+    dh *= 1 - h * h
+    dx = (dh @ w["h"].T).reshape(-1, EMBED)
+    at = sides.ravel()
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][at[starts]] = np.add.reduceat(dx[order], starts, axis=0)
+    return g | {"h": x.T @ dh, "hb": dh.sum(0)}
+
+
+class Trainer:
+    """Steps of Adam from given weights, over windows that come by blocks of texts."""
+
+    def __init__(self, w: Weights, rate: float, seed: int):
+        self.w, self.rate, self.rng = {k: v.copy() for k, v in w.items()}, rate, np.random.default_rng(seed)
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.t = self.n = 0
+
+    def add(self, flat: np.ndarray) -> None:
+        """The windows of the texts in ``flat``; many are taken together in random order."""
+        every = np.flatnonzero(flat)
+        for lo in range(0, len(every), SHUFFLED):
+            at = every[lo : lo + SHUFFLED]
+            self.held.append((around(flat, at), flat[at]))
+            self.size += len(at)
+            if self.size >= SHUFFLED:
+                self.flush()
+
+    def flush(self) -> None:
+        """Step over all that is held."""
+        if not self.size:
+            return
+        sides, masked = (np.concatenate(x) for x in zip(*self.held))
+        order = self.rng.permutation(len(masked))
+        step = STEP if len(masked) >= SHUFFLED else min(STEP, max(LEAST_STEP, len(masked) // STEPS))
+        for part in np.array_split(order, -(-len(order) // step)):
+            self.t += 1
+            for k, g in gradient(self.w, sides[part], masked[part]).items():
+                self.one[k] += np.float32(0.1) * (g - self.one[k])
+                self.two[k] += np.float32(0.02) * (g * g - self.two[k])
+                self.w[k] -= np.float32(self.rate / (1 - 0.9**self.t)) * self.one[k] / (np.sqrt(self.two[k] / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
+        self.n += len(masked)
+        self.held, self.size = [], 0
+
+
+def fit(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    """Train on all windows of the corpus: each round takes the documents that a hash deals to it.
+
+    Each task trains a copy on its own documents; copies are averaged, weighted by their windows. A
+    shuffle sums them by layer, and the driver gets one set of weights, of some 0.8 MB, a round.
     """
-    counts = checkpointed(counted(docs))
-    shards = max(shards, -(-(counts.agg(F.sum(F.ceil(F.col("n") / PLACE))).first()[0] or 0) // LARGEST))
-    table = checkpointed(counts.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "window"))
-    w = fresh()
-    names = list(w)
+    w = fresh(known.counts)
+    names, dealt = list(w), F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for turn in range(rounds):
-        start, rate = w, 0.02 * 0.6**turn
+        start, rate = w, 0.01 * 0.6**turn
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
-            parts = [b for b in batches if b.num_rows]
-            if not parts:
-                return
-            key, n, shard = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in parts]) for k in range(3))
-            for s in np.unique(shard):
-                on = shard == s
-                new = trained(start, key[on], n[on].astype(np.float64), rate, int(s) + 100 * turn)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([int(s)], pa.int32()), "n": pa.array([float(n[on].sum())]), **{k: pa.array([new[k].tobytes()], pa.binary()) for k in names}})
-
-        got = sorted(table.select("window", "n", "shard").mapInArrow(run, "shard int, n double, " + ", ".join(f"{k} binary" for k in names)).collect())
-        if not got:
-            return w
-        total = sum(r.n for r in got)
-        w = {k: sum(np.frombuffer(r[k], np.float32).reshape(start[k].shape) * np.float32(r.n / total) for r in got) for k in names}
+            trainer = Trainer(start, rate, turn)
+            for batch in batches:
+                for block in blocks(batch.column(0)):
+                    trainer.add(known.flat(block, spell=False)[0])
+            trainer.flush()
+            if trainer.n:
+                rows = [(trainer.w[k] * np.float32(trainer.n)).tobytes() for k in names]
+                yield pa.RecordBatch.from_pydict({"layer": pa.array(names), "n": pa.array([trainer.n] * len(names), pa.int64()), "sum": pa.array(rows, pa.binary())})
+
+        def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = 0, None
+            for table in tables:
+                for k, raw in zip(table["n"].to_pylist(), table["sum"].to_pylist()):
+                    own = np.frombuffer(raw, np.float32).astype(np.float64)
+                    n, total = n + k, own if total is None else total + own
+            yield pa.RecordBatch.from_pydict({"layer": pa.array([key[0].as_py()]), "mean": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+        copies = texts(docs).where(dealt == turn).select("text").mapInArrow(run, "layer string, n long, sum binary")
+        got = {r.layer: r["mean"] for r in copies.groupBy("layer").applyInArrow(add, "layer string, mean binary").collect()}
+        if got:
+            w = {k: np.frombuffer(got[k], np.float32).reshape(v.shape) for k, v in start.items()}
     return w
 
 
-class Scorer:
-    """Log-probabilities of windows, remembered by a worker."""
-
-    def __init__(self, w: Weights):
-        self.w, self.key, self.logp = w, np.zeros(0, np.int64), np.zeros(0, np.float32)
-
-    def of(self, key: np.ndarray) -> np.ndarray:
-        """The masked token's log-probability in each of ascending windows."""
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
-        new = key[~known]
-        if len(new):
-            context, which = np.unique(new // VALUES, return_inverse=True)
-            found, masked = np.empty(len(new), np.float32), new % VALUES
-            for lo in range(0, len(context), 16384):
-                part = context[lo : lo + 16384]
-                logp = forward(self.w, digits(part * VALUES)[0])[2]
-                on = (which >= lo) & (which < lo + len(part))
-                found[on] = logp[which[on] - lo, masked[on]]
-            if len(self.key) > REMEMBERED:
-                self.key, self.logp = new, found
-                return self.of(key) if known.any() else found
-            every = np.concatenate([self.key, new])
-            order = np.argsort(every, kind="stable")
-            self.key, self.logp = every[order], np.concatenate([self.logp, found])[order]
-            at = np.searchsorted(self.key, key)
-        return self.logp[at]
-
-
-def scored(docs: DataFrame, w: Weights) -> DataFrame:
-    """``doc_id, n_tokens, log_prob, bits_per_token`` of each row; a text without tokens has zeros."""
+def scored(docs: DataFrame, known: Vocabulary, w: Weights) -> DataFrame:
+    """``doc_id, n_tokens, log_prob, bits_per_token`` of each row; a text without words has zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(w)
         for batch in batches:
-            for ids, raw in blocks(batch):
-                key, which = np.unique(windows(raw), return_inverse=True)
-                each = np.concatenate([[0.0], np.cumsum(scorer.of(key).astype(np.float64)[which])])
-                n = np.array([len(r) for r in raw], np.int64)
-                ends = np.cumsum(n)
-                total = each[ends] - each[ends - n]
-                bits = np.where(n > 0, -total / np.maximum(n, 1) / np.log(2), 0.0)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_tokens": pa.array(n), "log_prob": pa.array(np.where(n > 0, total, 0.0)), "bits_per_token": pa.array(bits)})
+            start = 0
+            for block in blocks(batch.column(1)):
+                flat, own = known.flat(block)
+                every = np.flatnonzero(flat)
+                for lo in range(0, len(every), SCORED):
+                    at = every[lo : lo + SCORED]
+                    own[lo : lo + SCORED] += log_probs(w, around(flat, at), flat[at])
+                n = np.array([len(words) for words in block], np.int64)
+                sums, ends = np.r_[0.0, np.cumsum(own)], np.cumsum(n)
+                total = np.where(n > 0, sums[ends] - sums[ends - n], 0.0)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(n)), "n_tokens": pa.array(n), "log_prob": pa.array(total), "bits_per_token": pa.array(-total / np.maximum(n, 1) / np.log(2) + 0.0)})
+                start += len(n)
 
     return texts(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_prob double, bits_per_token double")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` and score them."""
-    return scored(docs, fit(docs))
+    known = vocabulary(docs)
+    return scored(docs, known, fit(docs, known))
