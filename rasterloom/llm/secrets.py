@@ -65,26 +65,25 @@ def spans(text: str, vocab_path: str, max_ratio: float) -> list[tuple[int, int,
     base = sorted((a, b) for a, _, b in found)
 
     def random(run: str) -> bool:
-        n = sum(len(coder(vocab_path).encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
-        return not known(run) and len(run) < max_ratio * n
+        return not known(run) and len(run) < max_ratio * sum(len(coder(vocab_path).encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
 
     first = 0
     for m in RUN.finditer(text):
         while first < len(base) and base[first][1] <= m.start():
             first += 1
-        parts, at = [], m.start()
-        for a, b in base[first:]:
-            if a >= m.end():
-                break
-            if a > at:
-                parts.append((at, a))
-            at = max(at, b)
+        parts, at, k, whole = [], m.start(), first, None
+        while k < len(base) and base[k][0] < m.end():
+            if base[k][0] > at:
+                parts.append((at, base[k][0]))
+            at = max(at, base[k][1])
+            k += 1
         if at < m.end():
             parts.append((at, m.end()))
         for a, b in parts:
-            if b - a >= WHOLE or b - a >= REST and random(m[0]):
-                if random(text[a:b]):
-                    found.append((a, 3, b))
+            if REST <= b - a < WHOLE and whole is None:
+                whole = random(m[0])  # once for all that is left of the run
+            if (b - a >= WHOLE or b - a >= REST and whole) and random(text[a:b]):
+                found.append((a, 3, b))
     return sorted(found)
 
 
