@@ -10,15 +10,18 @@ from pathlib import Path
 from rasterloom.plans import primitives  # noqa: F401  registers the primitives
 from rasterloom.plans.engine import PRIMITIVES, Engine, Image, plain
 from rasterloom.plans.graph import Goal
+from rasterloom.plans.plugins import load_folder
 from rasterloom.plans.syntax import LanguageError, parse_program, shown
 from rasterloom.session import session
-from rasterloom.sources.sinks import save
+from rasterloom.sources.sinks import Store, save, suffix_of
 
 
 def finish(goal: Goal, value: object) -> None:
     """Print or save a goal's value."""
     if goal.operation == "print":
         print(f"{goal.name}={plain(value)}")
+    elif isinstance(value, Image) and not value.whole and suffix_of(goal.name):
+        PRIMITIVES["simpleitk"]["WriteImage"].run(value, goal.name)
     elif isinstance(value, Image):
         save(goal.name, value.result())
     else:
@@ -29,7 +32,10 @@ def run(text: str, path: str | None, args: argparse.Namespace) -> int:
     """Run a program: 2 for errors that are found before it runs, 1 if a goal fails."""
     spark = session(args.master)
     try:
-        engine = Engine(spark, text, path)
+        for folder in getattr(args, "plugins", None) or []:
+            load_folder(folder)
+        store = getattr(args, "store", None)
+        engine = Engine(spark, text, path, store=Store(spark, store) if store else None)
     except LanguageError as e:
         print(e, file=sys.stderr)
         return 2
@@ -40,7 +46,7 @@ def run(text: str, path: str | None, args: argparse.Namespace) -> int:
     failed = 0
     for goal in engine.plan.goals:
         try:
-            finish(goal, engine.value(goal.id))
+            finish(goal, engine.goal(goal))
         except Exception as e:  # a goal that fails doesn't stop the others
             failed = 1
             print(f"{goal.operation} {goal.name}: {e}", file=sys.stderr)
@@ -50,6 +56,8 @@ def run(text: str, path: str | None, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="rasterloom")
     parser.add_argument("--master", default=None, help="Spark master, if the environment names none")
+    parser.add_argument("--store", metavar="DIR", help="keep the tables and images of goals, and use those that are there")
+    parser.add_argument("--plugins", metavar="DIR", action="append", help="a folder of modules that register primitives, and of libraries")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("run", help="run a program")
     one.add_argument("file")

@@ -46,15 +46,17 @@ def linear(domain: Domain) -> Column:
 
 
 # kernels of whole images: arrays with the axes image, z, y, x
-def shifts(shape: tuple[int, ...]) -> Iterator[tuple[tuple[slice, ...], tuple[slice, ...]]]:
-    """Pairs of views that are one step apart, for half of the steps to the box's neighbours."""
+def shifts(shape: tuple[int, ...], faces: bool = False) -> Iterator[tuple[tuple[slice, ...], tuple[slice, ...]]]:
+    """Pairs of views that are one step apart, for half of the steps to the box's neighbours, or to those that share a face."""
     choices = [[0], *([-1, 0, 1] if n > 1 else [0] for n in shape[1:])]
     steps = np.array(np.meshgrid(*choices, indexing="ij")).reshape(len(shape), -1).T
     for step in steps[len(steps) // 2 + 1 :]:
+        if faces and np.abs(step).sum() > 1:
+            continue
         yield tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(step, shape)), tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(step, shape))
 
 
-def label_grid(grid: np.ndarray) -> np.ndarray:
+def label_grid(grid: np.ndarray, faces: bool = False) -> np.ndarray:
     """Component numbers of the masks, 0 outside; numbered in each image by the first voxel in raster order.
 
     Each voxel takes the least place among its neighbours, then the place that this one has taken,
@@ -62,7 +64,7 @@ def label_grid(grid: np.ndarray) -> np.ndarray:
     """
     none = grid.size
     label = np.where(grid, np.arange(none).reshape(grid.shape), none)
-    views = [*shifts(grid.shape)]
+    views = [*shifts(grid.shape, faces)]
     while True:
         old = label.copy()
         for a, b in views:
@@ -183,6 +185,64 @@ def lcc(voxels: DataFrame, mask: Column, domain: Domain, out: str = "label") ->
     return per_image(voxels, F.coalesce(mask.cast("int"), F.lit(0)), domain, lambda g: label_grid(g != 0), out, "bigint")
 
 
+def lcc_by_faces(voxels: DataFrame, mask: Column, domain: Domain, out: str = "label") -> DataFrame:
+    """Connected components of voxels that share faces, numbered as those of ``lcc``."""
+    return per_image(voxels, F.coalesce(mask.cast("int"), F.lit(0)), domain, lambda g: label_grid(g != 0, True), out, "bigint")
+
+
+def dt_by_lines(voxels: DataFrame, mask: Column, domain: Domain, out: str = "dt") -> DataFrame:
+    """``dt`` for images that are too large for a task: squared distances go along the lines of one axis after the other.
+
+    A task holds lines, never an image, and all of it are DataFrame functions.
+    """
+    rows = voxels.drop(out).withColumn("_m", F.coalesce(mask.cast("boolean"), F.lit(False)))
+    rows = near(rows, ~F.col("_m"), domain, "_n")
+    rows = rows.withColumn("_d", F.when(F.col("_m") & F.col("_n"), 0.0).otherwise(float("inf"))).drop("_n")
+    kept = [c for c in rows.columns if c not in ("image_id", "_d")]
+    for axis in domain.axes:
+        across = [c for c in COORDS if c != axis]
+        line = rows.groupBy("image_id", *across).agg(F.collect_list(F.struct(*[c for c in kept if c not in across], "_d")).alias("_l"))
+        apart = lambda p, q: (p[axis] - q[axis]) * domain.step(axis)  # noqa: B023, E731
+        best = F.transform("_l", lambda p: F.struct(p.alias("p"), F.aggregate("_l", F.lit(float("inf")), lambda d, q: F.least(d, q["_d"] + apart(p, q) * apart(p, q))).alias("d")))  # noqa: B023
+        rows = line.select("image_id", *across, F.explode(best).alias("_b")).select("image_id", *across, *[F.col(f"_b.p.{c}").alias(c) for c in kept if c not in across], F.col("_b.d").alias("_d"))
+    rows = rows.withColumn(out, F.when(F.col("_m"), -F.sqrt("_d")).otherwise(F.sqrt("_d")) + 0.0)
+    return rows.select(*[c for c in voxels.columns if c != out], out)
+
+
+def curvature_flow_by_windows(voxels: DataFrame, value: Column, domain: Domain, step: float, rounds: int, out: str = "flow") -> DataFrame:
+    """``curvature_flow`` for images that are too large for a task: neighbours come from windows along the axes.
+
+    All windows share the partitioning by image and line that Spark gives them; a round is a step of
+    the plan, so that many rounds should be cut by checkpoints of the caller.
+    """
+
+    def beside(df: DataFrame, names: dict[str, tuple[str, str, int]]) -> DataFrame:
+        """Columns ``name: (of, axis, move)``; beyond the border the edge is repeated."""
+        made = {}
+        for name, (of, axis, move) in names.items():
+            line = Window.partitionBy("image_id", *[c for c in COORDS if c != axis]).orderBy(axis)
+            made[name] = F.coalesce((F.lead if move > 0 else F.lag)(of).over(line), F.col(of))
+        return df.withColumns(made)
+
+    rows, axes = voxels.drop(out).withColumn("_v", value.cast("double")), domain.axes
+    for _ in range(rounds):
+        rows = beside(rows, {f"_{a}{m}": ("_v", a, 1 if m == "p" else -1) for a in axes for m in "pm"})
+        pairs = [(a, b) for k, a in enumerate(axes) for b in axes[k + 1 :]]
+        for a, b in pairs:
+            rows = beside(rows, {f"_{a}{b}{m}{n}": (f"_{a}{m}", b, 1 if n == "p" else -1) for m in "pm" for n in "pm"})
+        one = {a: (F.col(f"_{a}p") - F.col(f"_{a}m")) / (2 * domain.step(a)) for a in axes}
+        two = {a: (F.col(f"_{a}p") - 2 * F.col("_v") + F.col(f"_{a}m")) / domain.step(a) ** 2 for a in axes}
+        none = F.lit(0.0)
+        top = sum((two[a] * sum((one[b] * one[b] for b in axes if b != a), none) for a in axes), none)
+        for a, b in pairs:
+            cross = (F.col(f"_{a}{b}pp") - F.col(f"_{a}{b}pm") - F.col(f"_{a}{b}mp") + F.col(f"_{a}{b}mm")) / (4 * domain.step(a) * domain.step(b))
+            top = top - 2 * one[a] * one[b] * cross
+        square = sum((one[a] * one[a] for a in axes), none)
+        rows = rows.withColumns({"_t": top, "_s": square}).withColumn("_v", F.col("_v") + step * F.when(F.col("_s") > 1e-9, F.col("_t") / F.col("_s")).otherwise(0.0))
+        rows = rows.select(*[c for c in voxels.columns if c != out], "_v")
+    return rows.withColumnRenamed("_v", out)
+
+
 def curvature_flow(voxels: DataFrame, value: Column, domain: Domain, step: float, rounds: int, out: str = "flow") -> DataFrame:
     spacing = domain.spacing[::-1]
     return per_image(voxels, value, domain, lambda g: flow_grid(g, step, rounds, spacing), out, "double")

@@ -9,17 +9,21 @@ columns too. Nodes are made once, whatever uses them.
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.model import VOXEL, Domain
 from rasterloom.plans.graph import Goal, Node, NodeId, Plan
 from rasterloom.plans.syntax import LanguageError, Tree, parse_program, shown
+from rasterloom.sources.sinks import Store
 
 RESERVED = ("$cwd", "$dir", "$file", "$filename", "$stem")
 FOLDS = ("+", "-", "*", "/", "&&", "||", "min", "max")
@@ -34,6 +38,8 @@ class Frame:
     df: DataFrame
     domain: Domain
     made: int = 0
+    #: columns of other frames that were joined, with the image that each is of
+    joined: dict[int, tuple[Image, Column]] = field(default_factory=dict)
 
     def add(self, make: Callable[[DataFrame, str], DataFrame]) -> Column:
         """Add a column with ``make(table, name)``."""
@@ -97,44 +103,61 @@ def column(x: Any, frame: Frame) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
     if x.frame is frame:
         return x.value
-    other = x.result().withColumnRenamed("value" if x.whole else "v", "_o")
-    return frame.add(lambda df, name: df.join(other.withColumnRenamed("_o", name), ["image_id"] if x.whole else VOXEL, "left"))
+    if id(x) not in frame.joined:
+        other = x.result().withColumnRenamed("value" if x.whole else "v", "_o")
+        frame.joined[id(x)] = x, frame.add(lambda df, name: df.join(other.withColumnRenamed("_o", name), ["image_id"] if x.whole else VOXEL, "left"))
+    return frame.joined[id(x)][1]
 
 
 def pointwise(f: Callable[..., Any], *args: Any) -> Any:
     """``f`` of plain values, columns, images, or items of sequences.
 
     A sequence and a scalar pair the scalar with each item; two sequences must have one length. An
-    empty sequence counts as a scalar.
+    empty sequence counts as a scalar. Long sequences, which are tables, are held to the same rules.
     """
+    if any(isinstance(a, DataFrame) for a in args):
+        return rowwise(f, *args)
     if any(isinstance(a, list) and a for a in args):
         size = {len(a) for a in args if isinstance(a, list) and a}
         if len(size) > 1:
             raise LanguageError("E_LENGTH", "sequences of unequal length")
         return [pointwise(f, *(a[k] if isinstance(a, list) and a else a for a in args)) for k in range(size.pop())]
-    if any(isinstance(a, DataFrame) for a in args):
-        return rowwise(f, *args)
     if any(isinstance(a, Image) for a in args):
         frame = frame_of(list(args))
         whole = all(a.whole if isinstance(a, Image) else not isinstance(a, Generator) for a in args)
         return Image(frame, f(*(column(a, frame) for a in args)), whole)
     if any(isinstance(a, Generator) for a in args):
         return Generator(lambda d: f(*(a.make(d) if isinstance(a, Generator) else F.lit(a) if not isinstance(a, Column) else a for a in args)))
-    return f(*args)
+    return strict(f)(*args)
+
+
+def strict(f: Callable[..., Any]) -> Callable[..., Any]:
+    """``f`` as it is of items of sequences, where an error of a plain value is an error of the column too."""
+    return getattr(f, "strict", f)
 
 
 def rowwise(f: Callable[..., Any], *args: Any) -> DataFrame:
-    """``f`` of items of long sequences with one another or with scalars."""
-    tables = [a for a in args if isinstance(a, DataFrame)]
+    """``f`` of items of long sequences with one another, with short ones, or with scalars."""
+    some = next(a for a in args if isinstance(a, DataFrame))
+    given = [table_of(some.sparkSession, a) if isinstance(a, list) and a else a for a in args]
+    tables = [a for a in given if isinstance(a, DataFrame)]
+    if len(tables) > 1 and len({t.count() for t in tables}) > 1:
+        raise LanguageError("E_LENGTH", "sequences of unequal length")
     rows = tables[0].select("idx", F.col("value").alias("_0"))
     for k, t in enumerate(tables[1:], 1):
-        rows = rows.join(t.select("idx", F.col("value").alias(f"_{k}")), "idx", "full")
+        rows = rows.join(t.select("idx", F.col("value").alias(f"_{k}")), "idx")
     names = iter(range(len(tables)))
-    values = [F.col(f"_{next(names)}") if isinstance(a, DataFrame) else a for a in args]
-    return rows.select("idx", f(*values).alias("value"))
+    values = [F.col(f"_{next(names)}") if isinstance(a, DataFrame) else a for a in given]
+    return rows.select("idx", strict(f)(*values).alias("value"))
+
+
+def table_of(spark: SparkSession, items: list) -> DataFrame:
+    """A short sequence as a table."""
+    return spark.createDataFrame([*enumerate(items)], ["idx", "value"])
 
 
 def divided(a: Any, b: Any) -> Any:
+    """Division of voxels gives null for a zero divisor; that of scalars is an error."""
     if isinstance(a, Column) or isinstance(b, Column):
         return F.try_divide((a if isinstance(a, Column) else F.lit(a)).cast("double"), b if isinstance(b, Column) else F.lit(b))
     if b == 0:
@@ -142,6 +165,17 @@ def divided(a: Any, b: Any) -> Any:
     return a / b
 
 
+def divided_strictly(a: Any, b: Any) -> Any:
+    if not isinstance(b, Column) and b == 0:
+        raise LanguageError("E_DIVISION", "division by zero")
+    if not isinstance(b, Column):
+        return divided(a, b)
+    return F.when(b == 0, F.raise_error(F.lit("E_DIVISION: division by zero")).cast("double")).otherwise(divided(a, b))
+
+
+divided.strict = divided_strictly  # type: ignore[attr-defined]
+
+
 def truth(x: Any) -> Any:
     return x.cast("boolean") if isinstance(x, Column) else bool(x)
 
@@ -173,6 +207,13 @@ class Primitive:
 
 
 PRIMITIVES: dict[str, dict[str, Primitive]] = {}
+#: Libraries in the surface language by namespace; functions that see each plan before it runs; functions that reset state before a program.
+LIBRARIES: dict[str, str] = {}
+PLANNERS: list[Callable[[Plan], Plan]] = []
+RESETS: list[Callable[[], None]] = []
+#: Primitives that read the files of their first argument, and those whose value isn't told by their arguments.
+FILES = {"default.load", "simpleitk.ReadImage"}
+IMPURE = {"default.dir", "test.impure", "default.print_primitive", "simpleitk.WriteImage", "nnunet.train", "nnunet.env_check"}
 
 
 def primitive(names: str, least: int, most: int | None = -1, kind: str = "scalar", lift: bool = False) -> Callable:  # type: ignore[assignment]
@@ -237,10 +278,14 @@ class Reducer:
 
     def load(self, name: str) -> None:
         if "." not in name and "/" not in name:
-            if name not in PRIMITIVES:
+            if name not in PRIMITIVES and name not in LIBRARIES:
                 raise LanguageError("E_IMPORT", f"no namespace {name}")
             if name not in self.plan.imported:
                 self.plan.imported.append(name)
+                for command in parse_program(LIBRARIES.get(name, "")):
+                    if command[0] in ("print", "save"):
+                        raise LanguageError("E_IMPORT", f"the library {name} has a goal")
+                    self.command(command)
             return
         path = Path(name) if Path(name).is_absolute() or self.path is None else self.path.parent / name
         for command in parse_program(path.read_text()):
@@ -321,14 +366,79 @@ def locals_of(t: Any) -> set[str]:
 
 
 # running
+def translated(f: Callable[[], Any]) -> Any:
+    """What ``f`` gives; an error of the language that Spark met in a column is raised as such."""
+    try:
+        return f()
+    except PySparkException as e:
+        if found := re.search(r"\b(E_[A-Z]+): ([^\n]*?)(?: SQLSTATE.*)?(?:\n|$)", str(e)):
+            raise LanguageError(found[1], found[2]) from e
+        raise
+
+
 class Engine:
     """Runs the nodes that goals need, each once."""
 
-    def __init__(self, spark: SparkSession, text: str, path: str | None = None, bindings: dict[str, Any] | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, text: str, path: str | None = None, bindings: dict[str, Any] | None = None, store: Store | None = None):
+        for reset in RESETS:
+            reset()
+        self.spark, self.store = spark, store
         self.reducer = Reducer(path, bindings)
         self.plan = self.reducer.program(text)
+        for planner in PLANNERS:
+            self.plan = planner(self.plan)
         self.done: dict[NodeId, Any] = dict(self.reducer.values)
+        self.bound = {k for k, v in self.reducer.values.items() if not isinstance(v, Closure)}
+
+    def lasting(self, key: NodeId) -> str | None:
+        """A name for a node's value that holds in other runs; None if there is none.
+
+        Values that the caller has bound, functions that closures capture by name, side effects and
+        listings of folders have none. Files count by their names, lengths and times.
+        """
+        seen, stack, files = {key}, [key], []
+        while stack:
+            k = stack.pop()
+            node = self.plan.nodes[k]
+            attrs = dict(node.attrs)
+            if k in self.bound or node.operator in IMPURE or attrs.get("function_captures"):
+                return None
+            if node.operator in FILES:
+                path = self.plan.nodes[node.args[0]]
+                if path.kind != "constant" or not isinstance(dict(path.attrs)["value"], str):
+                    return None
+                files.append(dict(path.attrs)["value"])
+            below = [*node.args, *(v for _, v in node.kwargs)]
+            stack += [x for x in below if x not in seen]
+            seen.update(below)
+        if not files:
+            return key
+        marks = []
+        for path in sorted(files):
+            listed = self.spark.read.format("binaryFile").load(path).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+            marks.append(str(listed.agg(F.count("*"), F.sum("h")).first()))
+        return f"{key}-{hashlib.sha256(' '.join(marks).encode()).hexdigest()[:16]}"
+
+    def stored(self, key: NodeId) -> Any:
+        """The value of a node that an earlier run has stored, or None."""
+        name = self.lasting(key) if self.store and self.plan.nodes[key].kind == "primitive" else None
+        found = self.store.find(name) if self.store and name else None
+        if found is None:
+            return None
+        about, df = found
+        if about["kind"] == "image":
+            frame = Frame(df, Domain(tuple(about["size"]), tuple(about["spacing"])))
+            return Image(frame, F.col("value" if about["whole"] else "v"), about["whole"])
+        return df
+
+    def keep(self, key: NodeId, value: Any) -> Any:
+        """Store the value of a goal, if it is a table or an image, and return what reads it."""
+        name = self.lasting(key) if self.store and isinstance(value, (Image, DataFrame)) else None
+        if self.store is None or name is None or self.store.find(name):
+            return value
+        about = {"kind": "image", "whole": value.whole, "size": value.frame.domain.size, "spacing": value.frame.domain.spacing} if isinstance(value, Image) else {"kind": "table"}
+        self.store.put(name, value.result() if isinstance(value, Image) else value, about)
+        return self.stored(key)
 
     def value(self, key: NodeId) -> Any:
         """The value of a node; what it needs is made first, without recursion into deep plans."""
@@ -339,6 +449,9 @@ class Engine:
                 stack.pop()
                 continue
             node = self.plan.nodes[k]
+            if self.store and (found := self.stored(k)) is not None:
+                self.done[k] = found
+                continue
             missing = [a for a in node.args if a not in self.done]
             if missing:
                 stack += missing
@@ -355,7 +468,11 @@ class Engine:
             raise LanguageError("E_ARITY", operator)
         more = {"engine": self} | (attrs or {}) if getattr(p.run, "needs_engine", False) else {}
         try:
-            return p.run(*args, **more)
+            return translated(lambda: p.run(*args, **more))
+        except (TypeError, ValueError, AttributeError, PySparkException) as e:
+            if not any(isinstance(a, Column) for a in args):
+                raise
+            raise LanguageError("E_TYPE", f"{p.name} does not take items of long sequences: {e}") from e
         except LanguageError as e:
             frames = {id(v.frame): v.frame for v in self.done.values() if isinstance(v, Image)}
             if e.code != "E_DOMAIN" or len(frames) != 1:
@@ -395,13 +512,19 @@ class Engine:
 
     def run(self) -> list[tuple[Goal, Any]]:
         """The value of each goal, in order."""
-        return [(g, self.value(g.id)) for g in self.plan.goals]
+        return [(g, self.goal(g)) for g in self.plan.goals]
+
+    def goal(self, g: Goal) -> Any:
+        """The value of a goal, which is stored if there is a store."""
+        if self.store and g.id not in self.done:
+            self.done[g.id] = self.keep(g.id, self.value(g.id))
+        return self.value(g.id)
 
     def page(self, key: NodeId, offset: int, limit: int) -> tuple[list, int | None]:
         """Items of a sequence from ``offset`` on, and where the next page begins; None after the last. A scalar is one item."""
         value = self.value(key)
         if isinstance(value, DataFrame) and value.columns == ["idx", "value"]:
-            items = [r.value for r in value.where(F.col("idx").between(offset, offset + limit - 1)).orderBy("idx").collect()]
+            items = [r.value for r in translated(lambda: value.where(F.col("idx").between(offset, offset + limit - 1)).orderBy("idx").collect())]
         else:
             items = (value if isinstance(value, list) else [value])[offset : offset + limit]
         return items, offset + limit if len(items) == limit else None
@@ -417,12 +540,16 @@ class Engine:
 
 def plain(value: Any) -> Any:
     """A value for the driver: images as rows, long sequences as lists."""
+    return translated(lambda: _plain(value))
+
+
+def _plain(value: Any) -> Any:
     if isinstance(value, Image):
         return [r.asDict() for r in value.result().collect()] if not value.whole else {r.image_id: r.value for r in value.result().collect()}
     if isinstance(value, DataFrame):
         return [r.value for r in value.orderBy("idx").collect()] if value.columns == ["idx", "value"] else [r.asDict() for r in value.collect()]
     if isinstance(value, list):
-        return [plain(v) for v in value]
+        return [_plain(v) for v in value]
     return value
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import strings
 from rasterloom.model import VOXEL, Domain
-from rasterloom.operators import cases, derived, geometry, sequence, spatial, stats, voxel
+from rasterloom.operators import cases, derived, geometry, sequence, spatial, stats, trainers, voxel
 from rasterloom.plans.engine import Closure, Engine, Frame, Generator, Image, PRIMITIVES, both, by_image, column, divided, either, extended, frame_of, needing, negated, pointwise, primitive
 from rasterloom.plans.syntax import LanguageError
-from rasterloom.sources import files
+from rasterloom.sources import files, sinks
 
 # scalars, items and voxels
 for _names, _f in {
@@ -52,7 +53,6 @@ primitive("vox1:rgb", 3, lift=True)(F.array)
 primitive("vox1:rgba", 4, lift=True)(F.array)
 primitive("arrays:threshold_equal", 2, 4, lift=True)(lambda v, t, a=1, b=0: F.when(v == t, a).otherwise(b))
 primitive("simpleitk:BinaryThreshold", 2, 5, lift=True)(lambda v, lo, hi=255, a=1, b=0: F.when((v >= lo) & (v <= hi), F.lit(int(a) if not isinstance(a, Column) else a)).otherwise(F.lit(b)))
-primitive("simpleitk:Cast", 1, 2)(lambda x, kind=None: x)
 
 
 @primitive("vox1:intensity", 1)
@@ -339,7 +339,19 @@ primitive("default:dir", 1, 4, "sequence")(lambda root, glob="*", recursive=Fals
 @needing
 def read_image(path: Any, engine: Engine) -> Image:
     """The images that a path names, which may be a pattern of many with one grid."""
-    return Image(Frame(files.read_images(engine.spark, path).drop("path").repartition("image_id"), files.domain_of(engine.spark, path)), F.col("v"))
+    domain, channels = files.grid_of(engine.spark, path)
+    return Image(Frame(files.read_images(engine.spark, path, domain.size, channels).drop("path").repartition("image_id"), domain), F.col("v"))
+
+
+@primitive("simpleitk:WriteImage", 2, 4)
+def write_image(x: Image, path: str, *_: Any) -> Any:
+    """Write an image in the format of the path's suffix; gives the path, or the paths if there are several images."""
+    found = sinks.write_image(x.frame.df.select(*VOXEL, (x.value.cast("double") if _scalar(x) else x.value).alias("v")), path, x.frame.domain)
+    return found[0] if len(found) == 1 else found
+
+
+def _scalar(x: Image) -> bool:
+    return x.frame.df.select(x.value.alias("v")).schema["v"].dataType.typeName() != "array"
 
 
 @primitive("default:print_primitive", 2)
@@ -352,17 +364,30 @@ def print_primitive(label: Any, value: Any) -> str:
 
 
 @primitive("default:overlay", 1, None)
-def overlay(*layers: Any) -> dict:
-    """Layers with labels, opacity, colours and visibility, the first named Base; nested overlays pass on theirs."""
+def overlay(*given: Any) -> dict:
+    """Layers with labels, opacity, colours and visibility, the first named Base.
+
+    Layers are the arguments, or the items of the only one; nested overlays pass on their layers. What
+    a single dict with ``layers`` has besides is metadata.
+    """
+    metadata: dict[str, Any] = {}
+    if len(given) == 1 and isinstance(given[0], dict) and "layers" in given[0]:
+        metadata = {**(given[0].get("metadata") or {}), **{k: v for k, v in given[0].items() if k not in ("layers", "metadata")}}
+        given = tuple(given[0]["layers"])
+    elif len(given) == 1 and isinstance(given[0], (list, tuple)):
+        given = tuple(given[0])
+    elif len(given) == 1 and isinstance(given[0], DataFrame):
+        given = tuple(r.value for r in given[0].orderBy("idx").collect())
     out: list[dict] = []
-    for x in layers:
+    for x in given:
         if isinstance(x, dict) and "layers" in x:
             out += x["layers"]
             continue
-        given = x if isinstance(x, dict) and "value" in x else {"value": x}
         base = not out
-        out.append({"label": "Base" if base else f"Overlay {len(out)}", "opacity": 1.0 if base else 0.5, "colormap": "gray" if base else "red", "visible": True} | given)
-    return {"layers": out, "metadata": {}}
+        out.append({"label": "Base" if base else f"Overlay {len(out)}", "opacity": 1.0 if base else 0.5, "colormap": "gray" if base else "red", "visible": True} | (x if isinstance(x, dict) and "value" in x else {"value": x}))
+    if not out:
+        raise LanguageError("E_EMPTY", "overlay needs a layer")
+    return {"layers": out, "metadata": metadata}
 
 
 def _text(x: Any) -> str:
@@ -396,7 +421,10 @@ primitive("geom:regular_polygon", 6, kind="image")(lambda x, cx, cy, r, n, v: po
 
 
 @primitive("test:fibonacci", 1)
-def fibonacci(n: float) -> int:
+def fibonacci(n: float) -> Any:
+    if isinstance(n, Column):  # the items of a long sequence; 38 digits at most
+        zero, one = (F.lit(k).cast("decimal(38,0)") for k in (0, 1))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(0)) + 1), F.struct(zero.alias("a"), one.alias("b")), lambda s, k: F.when(k > n.cast("int"), s).otherwise(F.struct(s["b"].alias("a"), (s["a"] + s["b"]).cast("decimal(38,0)").alias("b"))))["a"]
     a, b = 0, 1
     for _ in range(sequence.whole(n, "fibonacci")):
         a, b = b, a + b
@@ -407,8 +435,10 @@ primitive("test:impure", 1)(lambda x: (print(x), x)[1])
 primitive("test:demo_data", 0, None)(lambda *_: {"name": "demo", "values": [1, 2, 3], "nested": {"flag": True}})
 
 
-# models; the trainer and predictor of programs are set by the embedding application
-TRAINERS: dict[str, Any] = {}
+from rasterloom.plans import filters  # noqa: E402, F401  registers the filters
+
+# models; an embedding application can register other pairs of functions to train and to predict
+TRAINERS: dict[str, Any] = {"default": (trainers.fit, trainers.label)}
 
 
 def _labelled(checked: list) -> DataFrame:
@@ -450,7 +480,20 @@ def predict(predictor: dict, volumes: Any) -> Image:
 primitive("nnunet:env_check", 0, None)(lambda *_: cases.env_check())
 for _name in ("enqueue", "enqueue_advanced", "workflow_controller"):
     primitive(f"test:{_name}", 1, None)(lambda *xs, name=_name: {"operation": name, "arguments": [str(x) for x in xs], "scheduled": False})
-primitive("test:timewaste", 2)(lambda rounds, x: x)
+
+
+@primitive("test:timewaste", 2)
+def timewaste(size: float, rounds: float) -> float:
+    """Work for its own sake: products and eigenvalues of a matrix with 10 times ``size`` rows, at most 1000, again and again."""
+    n = min(1000, max(1, 10 * sequence.whole(size, "timewaste")))
+    wave = np.sin(np.arange(n * n, dtype=float)).reshape(n, n)
+    total, held = 0.0, wave
+    for _ in range(max(1, sequence.whole(rounds, "timewaste"))):
+        held = held @ wave.T
+        held /= np.abs(held).max()
+        total += float(np.linalg.eigvalsh((held + held.T) / 2).sum())
+    return total
+
 
 
 def image_of(df: DataFrame, domain: Domain, value: str = "v") -> Image:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.model import Domain
+from rasterloom.sources import formats
 
 VOXELS = "path string, image_id long, x int, y int, z int, v double"
 
@@ -100,7 +101,7 @@ def pnm(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
     return np.frombuffer(raw, "u1" if top < 256 else ">u2", wide * high, m.end()).reshape(1, high, wide).astype(float), (1.0, 1.0, 1.0)
 
 
-DECODERS = {".nii": nifti, ".nii.gz": nifti, ".mha": metaimage, ".pgm": pnm}
+DECODERS = {".nii": nifti, ".nii.gz": nifti, ".mha": metaimage, ".pgm": pnm, ".png": formats.png, ".nrrd": formats.nrrd, ".tif": formats.tiff, ".tiff": formats.tiff, ".vtk": formats.vtk, ".bmp": formats.bmp, ".dcm": formats.dicom}
 
 
 def decoded(path: str, raw: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
@@ -111,29 +112,38 @@ def decoded(path: str, raw: bytes) -> tuple[np.ndarray, tuple[float, float, floa
     raise ValueError(f"no decoder for {path}")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, size: tuple[int, int, int] | None = None, channels: int = 1) -> DataFrame:
     """``path, image_id, x, y, z, v`` of all image files that ``path`` names; ids are hashes of the paths.
 
-    Each file is decoded by one task, which passes its voxels on slice by slice.
+    Each file is decoded by one task, which passes its voxels on slice by slice. With ``size`` an image
+    of another grid is an error. Vector pixels of ``channels`` numbers are arrays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 data, _ = decoded(name, raw)
-                y, x = (a.ravel().astype(np.int32) for a in np.indices(data.shape[1:]))
+                if size is not None and data.shape[2::-1] != tuple(size):
+                    raise ValueError(f"{name} has the grid {data.shape[2::-1]}, not {tuple(size)}")
+                if (data.shape[3] if data.ndim == 4 else 1) != channels:
+                    raise ValueError(f"{name} has another number of channels than {channels}")
+                y, x = (a.ravel().astype(np.int32) for a in np.indices(data.shape[1:3]))
                 for z, plane in enumerate(data):
-                    n = plane.size
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([name] * n), "image_id": pa.array([key] * n, pa.int64()), "x": pa.array(x), "y": pa.array(y), "z": pa.array(np.full(n, z, np.int32)), "v": pa.array(plane.ravel())})
+                    n = len(x)
+                    v = pa.array(plane.ravel()) if channels == 1 else pa.array(plane.reshape(n, -1).tolist(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([name] * n), "image_id": pa.array([key] * n, pa.int64()), "x": pa.array(x), "y": pa.array(y), "z": pa.array(np.full(n, z, np.int32)), "v": v})
 
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("id"), "content")
-    return files.mapInArrow(run, VOXELS)
+    return files.mapInArrow(run, VOXELS if channels == 1 else VOXELS.replace("v double", "v array<double>"))
 
 
-def domain_of(spark: SparkSession, path: str) -> Domain:
-    """The grid of the first image that ``path`` names."""
+def grid_of(spark: SparkSession, path: str) -> tuple[Domain, int]:
+    """The grid of the first image that ``path`` names, and the numbers of its pixels."""
     name, raw = spark.read.format("binaryFile").load(path).select("path", "content").first()
     data, spacing = decoded(name, bytes(raw))
-    return Domain(tuple(data.shape[::-1]), spacing)  # type: ignore[arg-type]
+    return Domain(tuple(data.shape[2::-1]), spacing), data.shape[3] if data.ndim == 4 else 1  # type: ignore[arg-type]
 
 
+def domain_of(spark: SparkSession, path: str) -> Domain:
+    """The grid of the first image that ``path`` names."""
+    return grid_of(spark, path)[0]
