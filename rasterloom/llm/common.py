@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset on one machine, as in tests, a temporary folder is made and set; on a
+    cluster it is an error, since executors would not see the folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+        if held.isDefined():
+            found = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 

@@ -32,8 +32,9 @@ def key(columns: list[str], salt: str, seed: int) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, n_tokens`` of each row; tokens are words, and a null text has none."""
-    return docs.select("doc_id", "source", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).cast("long").alias("n_tokens"))
+    """``doc_id, source, n_tokens`` of each row; tokens are words, and a null text has none. Without a column ``source`` all are of the null source."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source")
+    return docs.select("doc_id", source, F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANK), "")).cast("long").alias("n_tokens"))
 
 
 def exponent(totals: DataFrame, max_repeats: float, entropy: float | None) -> float:
@@ -97,9 +98,15 @@ def realised(docs: DataFrame, **how) -> DataFrame:
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows that share an id are taken alike."""
-    copies = mixed(docs, **how).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(docs.columns)
+    own, copies, copy = (free(docs, name) for name in ("_mix_id", "_mix_copies", "_mix_copy"))
+    taken = mixed(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(copies))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    return name if name not in docs.columns else free(docs, name + "_")
 
 
 def sql(max_repeats: float = REPEATS, entropy: float = ENTROPY, seed: int = 1) -> str:

@@ -9,6 +9,7 @@ signatures are compared.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,20 +63,32 @@ def shown(signatures: str) -> Column:
     return F.concat_ws(":", F.size(signatures).cast("string"), F.sha2(F.array_join(F.transform(signatures, lambda s: F.hex(s)), ","), 256))
 
 
+def in_order(docs: DataFrame) -> Column:
+    """A number that grows with the id, or stays: numbers as they are, strings by their first seven bytes, times by the clock."""
+    kind, own = dict(docs.dtypes)["doc_id"], F.col("doc_id")
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(own.cast("binary")), 1, 14), 14, "0"), 16, 10).cast("long")
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_timestamp(own.cast("timestamp"))
+    return own if re.match("(tiny|small|big)?int|float|double|decimal", kind) else F.when(own.isNotNull(), 0)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, following``: the text that comes next by descending id, after the last the first.
 
-    Null texts are empty, null ids come last, and rows that share an id are ordered by text. Ids are
-    cut into ranges of about equal size, each ordered by itself; a range's last row gets the first
-    of the next range. The driver reads the bounds of at most ``RANGES`` ranges.
+    Null texts are empty, null ids come last, and rows that share an id are ordered by text. Ids, of
+    any type that can be ordered, are cut into ranges of about equal size, each ordered by itself; a
+    range's last row gets the first of the next range. The driver reads the bounds of at most
+    ``RANGES`` ranges.
     """
+    own = in_order(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.select("doc_id").count()
     cuts = min(RANGES, n // RANGE)
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 4 * cuts))).first()[0] or [])) if cuts else []
+    bounds = sorted(set(docs.agg(F.percentile_approx(own, [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 4 * cuts))).first()[0] or [])) if cuts else []
     if bounds:
         table, steps = F.array(*[F.lit(b) for b in bounds]), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) <= F.col("doc_id"), F.lit(False)), at + s).otherwise(at))
+        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) <= own, F.lit(False)), at + s).otherwise(at))
     else:
         found = F.lit(0)
     found = F.when(F.col("doc_id").isNull(), -1).otherwise(found)

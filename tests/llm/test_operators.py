@@ -126,6 +126,25 @@ def test_quality_base(docs, none):
     assert quality.report(none).count() == 0
 
 
+def test_quality_of_many_languages(spark, monkeypatch):
+    rows = [(k, prose(200, k), f"l{k % 5}" if k % 6 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = sorted(map(str, quality.report(df).collect()))
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    assert sorted(map(str, quality.report(df).collect())) == held
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rasterloom.llm.common import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    held = SimpleNamespace(conf=SimpleNamespace(get=lambda k, other: other), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
+    with pytest.raises(RuntimeError):
+        shared_dir(held)
+
+
 def test_quality_divergence(spark):
     rows = [(k, prose(200, k), "en") for k in range(30)]
     rows += [(100, " ".join(f"{w}%%%$$$" for w in prose(150, 99).split()), "en"), (101, " ".join(f"qzx{k}" for k in range(300)), "en")]
@@ -303,6 +322,8 @@ def test_mixing(spark, docs, none):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.realised(df.repartition(7), max_repeats=2.5, entropy=None).collect()))
     assert mixing.realised(none).count() == 0
     assert sorted(map(str, mixing.repeated(docs, max_repeats=1.0).collect())) == sorted(map(str, docs.collect()))
+    clash = docs.drop("source").withColumns({"_mix_id": F.lit(1), "_mix_copies": F.lit(2), "_mix_copy": F.lit(3)})
+    assert sorted(map(str, mixing.repeated(clash).collect())) == sorted(map(str, clash.collect()))
 
 
 def test_mixing_entropy(spark):
@@ -652,22 +673,26 @@ def plain_signatures(text):
     return out or {tuple(words)}
 
 
-def test_spotsigs(docs, none):
-    got = {r.doc_id: r for r in spotsigs.report(docs).collect()}
+@pytest.mark.parametrize("kind", ["long", "string", "double", "timestamp", "binary"])
+def test_spotsigs(docs, none, kind, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE", 3)
+    named = docs.withColumn("doc_id", F.format_string("%04d", "doc_id") if kind in ("string", "binary") else F.col("doc_id"))
+    named = named.withColumn("doc_id", F.when(F.col("text") == "no id", None).otherwise(F.timestamp_seconds("doc_id") if kind == "timestamp" else F.col("doc_id").cast(kind)))
+    got = [(r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in spotsigs.report(named).collect()]
     order = sorted([(k, t or "") for k, t, *_ in ROWS], key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
-    for n, (k, text) in enumerate(order):
+    jaccard, want = lambda a, b: len(a & b) / len(a | b), []
+    for n, (_, text) in enumerate(order):
         following = order[(n + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        if k == 7:
-            continue  # two equal rows
-        jaccard = lambda a, b: len(a & b) / len(a | b)
         own = plain_signatures(text)
-        assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[k].near_edited == pytest.approx(jaccard(own, plain_signatures(edited)))
-        assert got[k].near_next == pytest.approx(jaccard(own, plain_signatures(following)))
-    assert got[1].fingerprint == got[5].fingerprint and got[1].fingerprint != got[6].fingerprint
-    assert spotsigs.report(none).count() == 0
+        want.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), jaccard(own, plain_signatures(edited)), jaccard(own, plain_signatures(following))))
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
+    assert all(a[2:] == pytest.approx(b[2:]) for a, b in zip(sorted(got), sorted(want)))
+    if kind == "long":
+        shown = {r.doc_id: r.fingerprint for r in spotsigs.report(docs).collect()}
+        assert shown[1] == shown[5] and shown[1] != shown[6]
+        assert spotsigs.report(none).count() == 0
 
 
 def test_spotsigs_ranges_and_pairs(spark, monkeypatch):
