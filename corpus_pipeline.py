@@ -2,6 +2,12 @@
 
 Each stage takes the session, the documents that the stage before it kept, and the folder of the
 input tables; what it returns is written as Parquet and read again as the next one's documents.
+
+Null and empty texts are documents like any other: they are not toxic, are near duplicates of one
+another, hold no secret, and have no tokens. Documents without an id are kept, one of each group of
+near duplicates. Rows that repeat are near duplicates. Texts are taken whole, however long. An empty
+table gives an empty one. All stages but the last keep the columns that there are, whatever their
+names; the last has an id, the source, and what it makes.
 """
 
 from __future__ import annotations
