@@ -48,3 +48,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` of documents, with null texts empty; other columns are pruned."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, or with ``_`` after it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import BLANK, checkpointed
+from rasterloom.llm.common import BLANK, checkpointed, free
 
 #: Documents of a block, if all were of one source.
 BLOCK = 2000
@@ -104,11 +104,6 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
-def free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    return name if name not in docs.columns else free(docs, name + "_")
-
-
 def sql(max_repeats: float = REPEATS, entropy: float = ENTROPY, seed: int = 1) -> str:
     """DuckDB SQL for the rows of ``realised``, for ids that don't repeat."""
     drawn = lambda salt, *columns: "('0x' || substr(md5(concat_ws('/', " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns) + f", '{salt}{seed}')), 1, 15))::BIGINT"

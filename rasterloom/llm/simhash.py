@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 from xxhash import xxh64_intdigest
 
-from rasterloom.llm.common import checkpointed, texts
+from rasterloom.llm.common import checkpointed, free, texts
 from rasterloom.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -213,20 +213,22 @@ def representatives(docs: DataFrame) -> DataFrame:
     them rows are told by id and fingerprint, which are only made again if there are any.
     """
     fps, own = rooted(docs)
-    kept = checkpointed(own.where(F.col("fp") == F.col("root.fp")).select(F.col("root.head").alias("_head"), F.col("fp").alias("_fp")))
-    often = fps.join(kept.select(F.col("_head").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
-    if kept.where("_head IS NULL").isEmpty() and often.isEmpty():
-        return docs.join(kept, F.col("doc_id") == F.col("_head"), "left_semi")
-    schema = docs.schema
+    kept = checkpointed(own.where(F.col("fp") == F.col("root.fp")).select(F.col("root.head").alias("head"), "fp"))
+    often = fps.join(kept.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
+    head, held = free(docs, "_head"), free(docs, "_fp")
+    named = kept.select(F.col("head").alias(head), F.col("fp").alias(held))
+    if kept.where("head IS NULL").isEmpty() and often.isEmpty():
+        return docs.join(named, F.col("doc_id") == F.col(head), "left_semi")
+    schema, mark = docs.schema, free(docs, "_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "") for t in batch.column(schema.names.index("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*schema.names, mark])
 
-    marked = docs.mapInArrow(run, StructType([*schema.fields]).add("_own", LongType()))
-    found = marked.join(kept, (F.col("_own") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    marked = docs.mapInArrow(run, StructType([*schema.fields]).add(mark, LongType()))
+    found = marked.join(named, (F.col(mark) == F.col(held)) & F.col("doc_id").eqNullSafe(F.col(head)), "left_semi")
+    return found.dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

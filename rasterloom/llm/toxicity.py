@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from rasterloom.llm.common import texts
+from rasterloom.llm.common import free, texts
 
 DECAY = 0.5
 #: Letters that a subsequence spans at most.
@@ -390,7 +390,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that are predicted toxic; all columns and other rows stay as they were."""
-    name = "_toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    name = free(docs, "_toxicity_score")
     return scored(docs, train(docs, labels), name).where(F.col(name) < 0.5).drop(name)

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -10,7 +11,7 @@ import corpus_pipeline
 from rasterloom.llm import secrets, simhash, toxicity
 from rasterloom.llm.common import table
 from rasterloom.llm.queries import vocabulary
-from tests.llm.test_operators import plain_components, plain_fingerprint, tokens
+from tests.llm.test_operators import ROWS, plain_components, plain_fingerprint, plain_spans, prose, tokens, toxic_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,61 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.without_copies(spark, docs, "").collect()
     assert sorted(r.text for r in got) == sorted({t for _, t in rows}) and [r.doc_id for r in got].count(None) == 2
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pipeline_accounts_for_each_row(spark, tmp_path):
+    """From rows with nulls, copies, secrets, insults and clashing columns, against plain versions of all five stages."""
+    import base64
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    labelled = toxic_set()
+    r = random.Random(4)
+    key = "".join(r.choices("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=44))
+    more = [(k, t) for k, t, *_ in ROWS] + [(None, None), (None, "no id"), (901, f"see {key} and token = abcdefghijkl0123 there"), (902, "an idiot and a moron scumbag"), (903, prose(300, 77)), (904, prose(300, 77)), (905, prose(300, 77) + "\n")]
+    rows = [(k, t, f"s{n % 3}" if n % 7 else None, "en", n) for n, (k, t) in enumerate([(k, t) for k, t, _ in labelled] + [(2000 + k if k is not None else None, t) for k, t in more])]
+    docs = spark.createDataFrame([(*x, 1.0, "b", [2]) for x in rows], "doc_id long, text string, source string, lang string, n_chars long, _toxicity_score double, _own string, fp array<int>").repartition(3)
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([(k, y) for k, _, y in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/sf/labels.parquet")
+
+    machine = toxicity.train(docs, table(spark, f"{tmp_path}/sf", "labels"))
+    score = lambda t: float(machine.score(machine.best([t or ""], {}))[0])
+    clean = [x for x in rows if score(x[1]) < 0.5]
+    assert sum(y for *_, y in labelled) <= len(rows) - len(clean) <= sum(y for *_, y in labelled) + 3
+    groups = plain_components(sorted({plain_fingerprint(x[1]) for x in clean}))
+    of, held = {}, {}
+    for x in clean:
+        of.setdefault(groups[plain_fingerprint(x[1])], []).append(x)
+    for root, group in of.items():
+        held[root] = min(group, key=lambda x: (x[0] is None, x[0] or 0))
+
+    def hidden(text):
+        out, at = [], 0
+        for a, _, b in plain_spans(text or "", ranks):
+            if a >= at:
+                out += [text[at:a], "[secret]"]
+            at = max(at, b)
+        return "".join([*out, (text or "")[at:]])
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = set()
+    for x in held.values():
+        ids = library.encode(hidden(x[1]), add_special_tokens=False).ids
+        want.add((x[0], len(ids), digest(",".join(map(str, ids))), digest(hidden(x[1]))))
+    got = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert {(g.doc_id, g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in got} == want
+    assert len(got) >= len(held) and {g.source for g in got} == {x[2] for x in held.values()}
+
+    none = docs.where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, f"{tmp_path}/sf")
+        assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
+        if name != "bpe":
+            assert stage(spark, docs, f"{tmp_path}/sf").schema.names == docs.columns
