@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import strings
 from rasterloom.model import Domain, raster
 from rasterloom.operators import derived, geometry, metrics, sequence, spatial, stats, voxel
+from rasterloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 GRID = Domain((8, 8, 1))
@@ -393,6 +394,10 @@ def _flow_sql(rounds: int, step: float) -> str:
     return f"WITH {', '.join(parts)} SELECT image_id, x, y, round(v, 6) AS out FROM {at}"
 
 
+spatially("dt_by_lines", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(d, 6) AS out FROM d", lambda d: spatial.dt_by_lines(d, D(), GRID, "out"), "double")
+spatially("curvature_flow_by_windows", _flow_sql(3, 0.05), lambda d: spatial.curvature_flow_by_windows(d, V(), GRID, 0.05, 3, "out"), "double")
+
+
 @query(_flow_sql(3, 0.05))
 def curvature_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.curvature_flow(grouped(spark, sf_dir), V(), GRID, 0.05, 3, "out").select("image_id", "x", "y", F.round("out", 6).alias("out"))
@@ -597,6 +602,53 @@ def lang_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.result().select("image_id", "x", "y", F.col("v").alias("out"))
 
 
+def language(name: str, text: str, sql: str, digits: int | None = 6) -> None:
+    """Register a query of the image that the expression ``text`` makes of all images."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ((_, out),) = program(spark, sf_dir, f'import "simpleitk"\nprint "m" {text}').run()
+        value = F.col("value" if out.whole else "v")
+        return out.result().select("image_id", *([] if out.whole else ["x", "y"]), (value if digits is None else F.round(value.cast("double"), digits)).alias("out"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_EXTREMA = f"WITH {PX}, e AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi, avg(v) OVER w AS mean, stddev_samp(v) OVER w AS dev FROM px WINDOW w AS (PARTITION BY image_id))"
+language("lang_cast", 'Cast(RescaleIntensity(img, 0, 255), GetPixelIDValueFromString("sitkUInt8"))', f"{_EXTREMA} SELECT image_id, x, y, floor(0 + (v - lo) * (255 / (hi - lo))) AS out FROM e")
+language("lang_cast_wraps", 'Cast(img * 1000, GetPixelIDValueFromString("sitkInt8"))', f"WITH {PX} SELECT image_id, x, y, (((trunc(v * 1000)::BIGINT + 128) % 256 + 256) % 256 - 128)::DOUBLE AS out FROM px")
+language("lang_normalize", "Normalize(img)", f"{_EXTREMA} SELECT image_id, x, y, round((v - mean) / dev, 6) AS out FROM e")
+language("lang_filter_masks", "Mask(img, Or(And(Greater(img, 0), Less(img, 0.1)), Equal(BinaryThreshold(img, 0.2, 0.3, 1, 0), 1)), 7)", f"WITH {PX} SELECT image_id, x, y, round(CASE WHEN v > 0 AND v < 0.1 OR v BETWEEN 0.2 AND 0.3 THEN v ELSE 7 END, 6) AS out FROM px")
+language("lang_filter_arithmetic", "Sqrt(Add(Square(img), Abs(Multiply(img, Subtract(img, 1)))))", f"WITH {PX} SELECT image_id, x, y, round(sqrt(v * v + abs(v * (v - 1))), 6) AS out FROM px")
+language("lang_filter_windowing", "InvertIntensity(IntensityWindowing(ShiftScale(img, 1, 2), 1, 2, 0, 10))", f"WITH {PX} SELECT image_id, x, y, round(255 - (greatest(1, least(2, (v + 1) * 2)) - 1) * 10, 6) AS out FROM px")
+language("lang_compose", "VectorIndexSelectionCast(Compose(img, img * 2, img * 3), 2)", f"WITH {PX} SELECT image_id, x, y, round(v * 3, 6) AS out FROM px")
+language("lang_crop", "Crop(img, [1, 2, 0], [2, 1, 0])", f"WITH {PX} SELECT image_id, x - 1 AS x, y - 2 AS y, round(v, 6) AS out FROM px WHERE x BETWEEN 1 AND 5 AND y BETWEEN 2 AND 6")
+language("lang_pad", "ConstantPad(img, [1, 0, 0], [0, 2, 0], 5)", f"""WITH {PX}, g AS (SELECT vec_id AS image_id, gx::INT AS x, gy::INT AS y FROM embeddings, (SELECT unnest(range(9)) AS gx), (SELECT unnest(range(10)) AS gy))
+    SELECT g.image_id, g.x, g.y, round(coalesce(v, 5), 6) AS out FROM g LEFT JOIN px ON px.image_id = g.image_id AND px.x + 1 = g.x AND px.y = g.y""")
+language("lang_signed_distance", "SignedMaurerDistanceMap(Greater(img, 0.1))", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(d * abs(d), 6) AS out FROM d")
+language("lang_binary_dilate", "BinaryDilate(Greater(img, 0.2), 1)", f"WITH {PX}, b AS (SELECT image_id, x, y, v > 0.2 AS m FROM px) SELECT p.image_id, p.x, p.y, (CASE WHEN EXISTS (SELECT 1 FROM b n WHERE n.m AND n.image_id = p.image_id AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1) THEN 1 ELSE 0 END)::DOUBLE AS out FROM b p")
+language("lang_empty", "emptyB(img > 0.3) || nemptyB(img < (0 - 0.35))", f"WITH {PX} SELECT image_id, NOT bool_or(v > 0.3) OR bool_or(v < -0.35) AS out FROM px GROUP BY image_id", None)
+language("lang_fold_images", "fold max [img, img * 2, 0 - img]", f"WITH {PX} SELECT image_id, x, y, round(greatest(v, v * 2, -v), 6) AS out FROM px")
+language("lang_thresholds", "(0 .<= img) & (img .< 0.1)", f"WITH {PX} SELECT image_id, x, y, v >= 0 AND v < 0.1 AS out FROM px", None)
+language("lang_let", "(let t = avg(img, img > 0) in img > t)", f"WITH {PX}, a AS (SELECT image_id, avg(v) FILTER (WHERE v > 0) AS t FROM px GROUP BY image_id) SELECT image_id, x, y, coalesce(v > t, false) AS out FROM px JOIN a USING (image_id)", None)
+
+
+@query(f"WITH {PX} SELECT image_id % 3 AS file, x, y, round(v, 6) AS out FROM px WHERE image_id < 3")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three images written as files of three formats, and read back by the program."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    folder, held = f"{folder}/images-{uuid.uuid4().hex}", []
+    for k, suffix in enumerate((".nrrd", ".nii.gz", ".vtk")):
+        one = images(spark, sf_dir).where(F.col("image_id") == k)
+        path = sinks.write_image(one, f"{folder}/{k}{suffix}", GRID)[0]
+        ((_, out),) = program(spark, sf_dir, f'print "x" ReadImage("{path}")').run()
+        held.append(out.result().select(F.lit(k).cast("bigint").alias("file"), "x", "y", F.round("v", 6).alias("out")))
+    return held[0].union(held[1]).union(held[2])
+
+
 def _values(spark: SparkSession, values: list) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "idx bigint, value double")
 
