@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 from zlib import crc32
 
 import numpy as np
@@ -67,11 +67,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for block in blocks(batch.column(0)):
-                for words in block:
-                    held.update(words)
-                    if len(held) > HELD:
-                        yield out()
-                        held.clear()
+                held.update(chain.from_iterable(block))
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
         if held:
             yield out()
 
@@ -98,27 +97,23 @@ class Vocabulary:
 
     def flat(self, block: list[list[bytes]], spell: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of texts with ``SIDE`` zeros around each text, and the spelling's log-probability of each word."""
-        words = list(set().union(*block))
+        words, size = list(chain.from_iterable(block)), np.fromiter(map(len, block), np.int64, len(block))
         number = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int16, len(words))
-        rare = np.flatnonzero(number == 0)
-        own = np.zeros(len(words))
+        rare, own = np.flatnonzero(number == 0), np.zeros(len(words))
         if len(rare):
-            others = [words[k] for k in rare.tolist()]
+            others = [*compress(words, (number == 0).tolist())]
             number[rare] = 1 + FREQUENT + np.fromiter(map(crc32, others), np.int64, len(others)) % SHARED
             if spell:
                 own[rare] = self.spelled(others)
-        place = dict(zip(words, range(len(words)))).__getitem__
-        size = np.fromiter(map(len, block), np.int64, len(block))
-        every = np.fromiter(map(place, chain.from_iterable(block)), np.int64, size.sum())
-        out = np.zeros(len(every) + SIDE * (len(block) + 1), np.int16)
-        out[np.arange(len(every)) + SIDE * (1 + np.repeat(np.arange(len(block)), size))] = number[every]
-        return out, own[every]
+        out = np.zeros(len(words) + SIDE * (len(block) + 1), np.int16)
+        out[np.arange(len(words)) + SIDE * (1 + np.repeat(np.arange(len(block)), size))] = number
+        return out, own
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """From the counts of all words; the driver gets the frequent words, the shared numbers' sums and the counts of neighbouring bytes."""
     counts = checkpointed(counted(docs))
-    often = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
+    often = checkpointed(counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT)).orderBy(F.col("n").desc(), "word").collect()
     numbers = {bytes(r.word): k for k, r in enumerate(often, 1)}
     sums = np.zeros(NUMBERS)
     sums[1 : 1 + len(often)] = [r.n for r in often]
@@ -165,18 +160,19 @@ def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
 
 
-def logs(z: np.ndarray) -> np.ndarray:
-    """Log-probabilities from logits, by row."""
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def picked(z: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """The log-probability of one entry of each row of logits, which are overwritten."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), masked]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def excess(z: np.ndarray, masked: np.ndarray, n: int) -> np.ndarray:
-    """The gradient by the logits of the loss summed over rows, divided by ``n``."""
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), masked] -= 1
-    z /= np.float32(n)
+    """The gradient by the logits, which are overwritten, of the loss summed over rows, divided by ``n``."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / (n * z.sum(1, keepdims=True))).astype(z.dtype)
+    z[np.arange(len(z)), masked] -= z.dtype.type(1 / n)
     return z
 
 
@@ -189,7 +185,14 @@ def by_class(masked: np.ndarray) -> Iterator[tuple[int, slice]]:
 def forward(w: Weights, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Input and hidden layer."""
     x = w["e"][sides].reshape(len(sides), -1)
-    return x, np.tanh(x @ w["h"] + w["hb"])
+    h = added(x @ w["h"], w["hb"])
+    return x, np.tanh(h, out=h)
+
+
+def added(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Rows with a bias added in place."""
+    z += bias
+    return z
 
 
 def log_probs(w: Weights, sides: np.ndarray, masked: np.ndarray) -> np.ndarray:
@@ -197,9 +200,9 @@ def log_probs(w: Weights, sides: np.ndarray, masked: np.ndarray) -> np.ndarray:
     order = np.argsort(masked, kind="stable")
     own = masked[order]
     h = forward(w, sides[order])[1]
-    found = logs(h @ w["c"] + w["cb"])[np.arange(len(own)), own // MEMBERS]
+    found = picked(added(h @ w["c"], w["cb"]), own // MEMBERS)
     for k, rows in by_class(own):
-        found[rows] += logs(h[rows] @ w["m"][k] + w["mb"][k])[np.arange(rows.stop - rows.start), own[rows] % MEMBERS]
+        found[rows] += picked(added(h[rows] @ w["m"][k], w["mb"][k]), own[rows] % MEMBERS)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -210,11 +213,11 @@ def gradient(w: Weights, sides: np.ndarray, masked: np.ndarray) -> Weights:
     n, order = len(masked), np.argsort(masked, kind="stable")
     sides, masked = sides[order], masked[order]
     x, h = forward(w, sides)
-    dz = excess(h @ w["c"] + w["cb"], masked // MEMBERS, n)
+    dz = excess(added(h @ w["c"], w["cb"]), masked // MEMBERS, n)
     g = {"c": h.T @ dz, "cb": dz.sum(0), "m": np.zeros_like(w["m"]), "mb": np.zeros_like(w["mb"])}
     dh = dz @ w["c"].T
     for k, rows in by_class(masked):
-        dz = excess(h[rows] @ w["m"][k] + w["mb"][k], masked[rows] % MEMBERS, n)
+        dz = excess(added(h[rows] @ w["m"][k], w["mb"][k]), masked[rows] % MEMBERS, n)
         g["m"][k], g["mb"][k] = h[rows].T @ dz, dz.sum(0)
         dh[rows] += dz @ w["m"][k].T
     dh *= 1 - h * h
