@@ -30,6 +30,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Distances beyond which a document diverges, and the characters and words it has at least to be judged by them.
 MOST_CHARS, MOST_WORDS, JUDGED_CHARS, JUDGED_WORDS = 0.25, 0.25, 200, 100
 
+#: Languages whose references are broadcast.
+LANGUAGES = 10_000
+
 
 def kept_chars(text: str, chars: str) -> Column:
     """How many characters of the class ``chars`` a text has."""
@@ -100,10 +103,12 @@ def judged(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: float =
 
     A language of which no document passes the base rules has no reference; its documents are judged
     by the base rules alone. The counts are written out once, since both the references and the
-    verdicts need them.
+    verdicts need them. References of up to ``LANGUAGES`` languages, some 4 MB, are broadcast, so that
+    rows stay where they are; more are joined by language, and a common one is split by the join.
     """
     rows = checkpointed(base(docs))
-    refs = pooled(rows).withColumnRenamed("lang", "ref_lang")
+    refs = checkpointed(pooled(rows).withColumnRenamed("lang", "ref_lang"))
+    refs = F.broadcast(refs) if refs.count() <= LANGUAGES else refs
     rows = rows.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns({"char_js": js_distance("chars", "ref_chars"), "word_js": js_distance("commons", "ref_commons")})
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda s, v: s + v)
     far = ((n_chars >= JUDGED_CHARS) & (F.coalesce("char_js", F.lit(0.0)) > most_chars)) | ((F.col("n_words") >= JUDGED_WORDS) & (F.coalesce("word_js", F.lit(0.0)) > most_words))
