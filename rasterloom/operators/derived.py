@@ -5,6 +5,7 @@ Names say what the symbols of the surface language mean; ``plans.library`` binds
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,27 +29,28 @@ def external_boundary(voxels: DataFrame, a: Column, domain: Domain, out: str = "
 
 def may_reach(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str = "may_reach") -> DataFrame:
     """Voxels next to ``a``, or next to a component of ``b`` that is next to ``a``."""
-    rows = spatial.near(voxels.withColumns({"_ra": a, "_rb": b}), F.col("_ra"), domain, "_rn")
-    rows = spatial.through(rows, F.col("_rn"), F.col("_rb"), domain, "_rt")
-    return spatial.near(rows, F.col("_rt") | F.col("_ra"), domain, out).drop("_ra", "_rb", "_rn", "_rt")
+    return spatial.of_masks(voxels, [a, b], domain, reach_grid, out)
+
+
+def reach_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return spatial.near_grid(spatial.through_grid(spatial.near_grid(a), b) | a)
 
 
 def touch(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str = "touch") -> DataFrame:
     """The components of ``a`` that have a neighbour in ``b``."""
-    rows = spatial.near(voxels.withColumns({"_ta": a, "_tb": b}), F.col("_tb"), domain, "_tn")
-    return spatial.through(rows, F.col("_tn"), F.col("_ta"), domain, out).drop("_ta", "_tb", "_tn")
+    return spatial.of_masks(voxels, [a, b], domain, lambda p, q: spatial.through_grid(spatial.near_grid(q), p), out)
 
 
 def grow(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str = "grow") -> DataFrame:
     """``a`` and the components of ``b`` that touch it."""
-    rows = touch(voxels.withColumns({"_ga": a, "_gb": b}), F.col("_gb"), F.col("_ga"), domain, "_gt")
-    return rows.withColumn(out, F.col("_ga") | F.col("_gt")).drop("_ga", "_gb", "_gt")
+    rows = touch(voxels.withColumn("_ga", a), b, F.col("_ga"), domain, "_gt")
+    return rows.withColumn(out, F.col("_ga") | F.col("_gt")).drop("_ga", "_gt")
 
 
 def surrounded(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str = "surrounded") -> DataFrame:
     """Voxels of ``a`` from which no path leaves ``a`` but through ``b``."""
-    rows = may_reach(voxels.withColumns({"_sa": a, "_sb": b}), ~(F.col("_sa") | F.col("_sb")), ~F.col("_sb"), domain, "_sr")
-    return rows.withColumn(out, F.col("_sa") & ~F.col("_sr")).drop("_sa", "_sb", "_sr")
+    rows = may_reach(voxels.withColumn("_sa", a), ~(a | b), ~b, domain, "_sr")
+    return rows.withColumn(out, F.col("_sa") & ~F.col("_sr")).drop("_sa", "_sr")
 
 
 def pdt(voxels: DataFrame, a: Column, domain: Domain, out: str = "pdt") -> DataFrame:
@@ -75,17 +77,21 @@ def erode(voxels: DataFrame, a: Column, r: float, domain: Domain, out: str = "er
 
 
 def imopen(voxels: DataFrame, a: Column, r: float, domain: Domain, out: str = "imopen") -> DataFrame:
-    return dilate(erode(voxels, a, r, domain, "_e"), F.col("_e"), r, domain, out).drop("_e")
+    """What is left of ``a`` where balls of radius ``r`` fit into it."""
+    spacing = domain.spacing[::-1]
+    return spatial.of_masks(voxels, [~a], domain, lambda rest: spatial.within_grid(~spatial.within_grid(rest, r, spacing), r, spacing), out)
 
 
 def imclose(voxels: DataFrame, a: Column, r: float, domain: Domain, out: str = "imclose") -> DataFrame:
-    return erode(dilate(voxels, a, r, domain, "_e"), F.col("_e"), r, domain, out).drop("_e")
+    """``a`` and the gaps in it that balls of radius ``r`` don't fit into."""
+    spacing = domain.spacing[::-1]
+    return spatial.of_masks(voxels, [a], domain, lambda grid: ~spatial.within_grid(~spatial.within_grid(grid, r, spacing), r, spacing), out)
 
 
 def smoothen(voxels: DataFrame, a: Column, r: float, domain: Domain, out: str = "smoothen") -> DataFrame:
     """Voxels within ``r`` of the part of ``a`` that is at least ``r`` from what isn't ``a``."""
-    rows = dist_geq(voxels, r, ~a, domain, "_e")
-    return dist_leq(rows, r, F.col("_e"), domain, out).drop("_e")
+    spacing = domain.spacing[::-1]
+    return spatial.of_masks(voxels, [~a], domain, lambda rest: spatial.within_grid(np.maximum(spatial.distance_grid(rest, spacing), 0) >= r, r, spacing), out)
 
 
 def norm(value: Column, k: float = 1.0) -> Column:

@@ -139,22 +139,61 @@ def flow_grid(values: np.ndarray, step: float, rounds: int, spacing: tuple[float
     return v
 
 
-def per_image(voxels: DataFrame, value: Column, domain: Domain, kernel: Callable[[np.ndarray], np.ndarray], out: str, kind: str) -> DataFrame:
-    """``voxels`` with what ``kernel`` makes of the images' grids of values; an image must fit a task.
+def near_grid(grid: np.ndarray) -> np.ndarray:
+    """Masks with the neighbours in the box around each voxel."""
+    out = grid
+    for axis in range(1, grid.ndim):
+        if grid.shape[axis] > 1:
+            wide = np.pad(out, [(1, 1) if k == axis else (0, 0) for k in range(grid.ndim)])
+            n = grid.shape[axis]
+            out = np.logical_or.reduce([np.take(wide, np.arange(k, k + n), axis) for k in range(3)])
+    return out
+
+
+def through_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components of the masks ``b`` that have a voxel of ``a``."""
+    label = label_grid(b)
+    image = np.arange(len(label)).reshape(-1, *[1] * (label.ndim - 1)) * (label.max(initial=0) + 1)
+    hit = np.zeros(len(label) * (label.max(initial=0) + 1), bool)
+    hit[(label + image)[a & (label > 0)]] = True
+    return hit[label + image] & (label > 0)
+
+
+def largest_grid(grid: np.ndarray) -> np.ndarray:
+    """The largest component of each mask; all of those that tie for it."""
+    label = label_grid(grid)
+    most = label.max(initial=0) + 1
+    image = np.arange(len(label)).reshape(-1, *[1] * (label.ndim - 1)) * most
+    size = np.bincount((label + image).ravel(), minlength=len(label) * most).reshape(len(label), most)
+    size[:, 0] = 0
+    top = size == np.maximum(size.max(1, keepdims=True), 1)
+    return top.ravel()[label + image] & (label > 0)
+
+
+def within_grid(grid: np.ndarray, r: float, spacing: tuple[float, ...]) -> np.ndarray:
+    """Voxels within ``r`` of each mask."""
+    return np.maximum(distance_grid(grid, spacing), 0) <= r
+
+
+def per_image(voxels: DataFrame, value: Column | list[Column], domain: Domain, kernel: Callable[..., np.ndarray], out: str, kind: str) -> DataFrame:
+    """``voxels`` with what ``kernel`` makes of the images' grids of one value or several; an image must fit a task.
 
     Images are dealt out whole and sorted by id, so a task takes those of a batch together: the
     kernel works on all of them at once, and holds one batch and one image at most.
     """
     size = domain.size
-    rows = voxels.withColumn("_in", value.cast("double"))
-    names = [f"`{c}` {t}" for c, t in rows.drop("_in").dtypes if c != out]
+    values = {f"_in{k}": v.cast("double") for k, v in enumerate(value if isinstance(value, list) else [value])}
+    rows, given = voxels.withColumns(values), list(values)
+    names = [f"`{c}` {t}" for c, t in voxels.dtypes if c != out]
 
     def made(part: pd.DataFrame) -> pd.DataFrame:
         image = pd.factorize(part["image_id"], use_na_sentinel=False)[0]
-        grid = np.zeros((image.max() + 1, *size[::-1]))
         at = (image, part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy())
-        grid[at] = part["_in"].to_numpy()
-        return part.drop(columns=["_in", out], errors="ignore").assign(**{out: kernel(grid)[at]})
+        grids = []
+        for name in given:
+            grids.append(np.zeros((image.max() + 1, *size[::-1])))
+            grids[-1][at] = part[name].to_numpy()
+        return part.drop(columns=[*given, out], errors="ignore").assign(**{out: kernel(*grids)[at]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # rows of the last image so far, which may go on
@@ -174,6 +213,12 @@ def per_image(voxels: DataFrame, value: Column, domain: Domain, kernel: Callable
     return rows.repartition("image_id").sortWithinPartitions("image_id").mapInPandas(run, ", ".join([*names, f"`{out}` {kind}"]))
 
 
+def of_masks(voxels: DataFrame, masks: list[Column], domain: Domain, kernel: Callable[..., np.ndarray], out: str) -> DataFrame:
+    """``voxels`` with the mask that ``kernel`` makes of masks, null as false: a chain of neighbourhoods, components and distances in one pass."""
+    given = [F.coalesce(m.cast("int"), F.lit(0)) for m in masks]
+    return per_image(voxels, given, domain, lambda *grids: kernel(*(g != 0 for g in grids)), out, "boolean")
+
+
 def dt(voxels: DataFrame, mask: Column, domain: Domain, out: str = "dt") -> DataFrame:
     """The signed Euclidean distance to the mask, by the domain's spacing."""
     spacing = domain.spacing[::-1]
@@ -275,6 +320,8 @@ def lcc_by_joins(voxels: DataFrame, mask: Column, domain: Domain, out: str = "la
 
 def through(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str = "through", label: Callable = lcc) -> DataFrame:
     """The components of ``b`` that have a voxel of ``a``."""
+    if label is lcc:
+        return of_masks(voxels, [a, b], domain, through_grid, out)
     rows = label(voxels.withColumn("_a", a), b, domain, out="_b")
     hit = F.max(F.col("_a") & (F.col("_b") > 0)).over(Window.partitionBy("image_id", "_b"))
     return rows.withColumn(out, F.coalesce(hit & (F.col("_b") > 0), F.lit(False))).drop("_a", "_b")
@@ -282,6 +329,8 @@ def through(voxels: DataFrame, a: Column, b: Column, domain: Domain, out: str =
 
 def maxvol(voxels: DataFrame, mask: Column, domain: Domain, out: str = "maxvol", label: Callable = lcc) -> DataFrame:
     """The largest component; all of those that tie for it."""
+    if label is lcc:
+        return of_masks(voxels, [mask], domain, largest_grid, out)
     rows = label(voxels, mask, domain, out="_b")
     size = F.when(F.col("_b") > 0, F.count("*").over(Window.partitionBy("image_id", "_b"))).otherwise(0)
     rows = rows.withColumn("_n", size)
