@@ -7,6 +7,8 @@ import json
 import sys
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from rasterloom.plans import primitives  # noqa: F401  registers the primitives
 from rasterloom.plans.engine import PRIMITIVES, Engine, Image, plain
 from rasterloom.plans.graph import Goal
@@ -16,10 +18,25 @@ from rasterloom.session import session
 from rasterloom.sources.sinks import Store, save, suffix_of
 
 
+#: Rows of a table or an image that are printed.
+PRINTED = 10_000
+
+
+def printed(value: object) -> str:
+    """A value as text; of a table or an image the first ``PRINTED`` rows, and that there are more."""
+    rows = value.result() if isinstance(value, Image) else value
+    if isinstance(rows, DataFrame):
+        order = [c for c in ("image_id", "z", "y", "x", "idx") if c in rows.columns]
+        found = rows.orderBy(*order).limit(PRINTED + 1) if order else rows.limit(PRINTED + 1)
+        held = plain(found)
+        return f"{held[:PRINTED]}{' and more' if len(held) > PRINTED else ''}"
+    return str(plain(value))
+
+
 def finish(goal: Goal, value: object) -> None:
     """Print or save a goal's value."""
     if goal.operation == "print":
-        print(f"{goal.name}={plain(value)}")
+        print(f"{goal.name}={printed(value)}")
     elif isinstance(value, Image) and not value.whole and suffix_of(goal.name):
         PRIMITIVES["simpleitk"]["WriteImage"].run(value, goal.name)
     elif isinstance(value, Image):

@@ -30,7 +30,7 @@ class Model:
 
 
 def sanitised(name: str) -> str:
-    """A case's name, with runs of other characters than letters, digits, _ and - as one _."""
+    """A case's name, with runs of other characters than letters, digits, _ and - as one _; the pattern is a fixed value."""
     return re.sub(r"[^A-Za-z0-9_-]+", "_", name)
 
 

@@ -25,6 +25,7 @@ from rasterloom.plans.graph import Goal, Node, NodeId, Plan
 from rasterloom.plans.syntax import LanguageError, Tree, parse_program, shown
 from rasterloom.sources.sinks import Store
 
+#: Fixed values of the language: names of program variables, operators of folds, other names of operators.
 RESERVED = ("$cwd", "$dir", "$file", "$filename", "$stem")
 FOLDS = ("+", "-", "*", "/", "&&", "||", "min", "max")
 ALIASES = {"!": "not", "&&": "bool_and_scalar", "||": "bool_or_scalar"}

@@ -9,8 +9,9 @@ from pathlib import Path
 from rasterloom.plans.engine import LIBRARIES, PRIMITIVES
 from rasterloom.plans.syntax import LanguageError, parse_program
 
-#: The suffix of programs.
+#: The suffix of programs, and the folder of the libraries that ship.
 PROGRAM = ".imgql"
+OWN = Path(__file__).with_name("libraries")
 
 
 def register_library(space: str, text: str) -> None:
@@ -38,3 +39,6 @@ def load_folder(folder: str) -> list[str]:
         elif path.suffix == PROGRAM:
             register_library(path.stem, path.read_text())
     return sorted({*PRIMITIVES, *LIBRARIES} - before)
+
+
+load_folder(str(OWN))

@@ -435,7 +435,7 @@ primitive("test:impure", 1)(lambda x: (print(x), x)[1])
 primitive("test:demo_data", 0, None)(lambda *_: {"name": "demo", "values": [1, 2, 3], "nested": {"flag": True}})
 
 
-from rasterloom.plans import filters  # noqa: E402, F401  registers the filters
+from rasterloom.plans import filters, plugins  # noqa: E402, F401  register the filters, and the libraries that ship
 
 # models; an embedding application can register other pairs of functions to train and to predict
 TRAINERS: dict[str, Any] = {"default": (trainers.fit, trainers.label)}

@@ -606,7 +606,7 @@ def language(name: str, text: str, sql: str, digits: int | None = 6) -> None:
     """Register a query of the image that the expression ``text`` makes of all images."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ((_, out),) = program(spark, sf_dir, f'import "simpleitk"\nprint "m" {text}').run()
+        ((_, out),) = program(spark, sf_dir, f'import "simpleitk"\nimport "masks"\nprint "m" {text}').run()
         value = F.col("value" if out.whole else "v")
         return out.result().select("image_id", *([] if out.whole else ["x", "y"]), (value if digits is None else F.round(value.cast("double"), digits)).alias("out"))
 
@@ -627,6 +627,7 @@ language("lang_pad", "ConstantPad(img, [1, 0, 0], [0, 2, 0], 5)", f"""WITH {PX},
     SELECT g.image_id, g.x, g.y, round(coalesce(v, 5), 6) AS out FROM g LEFT JOIN px ON px.image_id = g.image_id AND px.x + 1 = g.x AND px.y = g.y""")
 language("lang_signed_distance", "SignedMaurerDistanceMap(Greater(img, 0.1))", f"WITH {PX}, {_dt('v > 0.1')} SELECT image_id, x, y, round(d * abs(d), 6) AS out FROM d")
 language("lang_binary_dilate", "BinaryDilate(Greater(img, 0.2), 1)", f"WITH {PX}, b AS (SELECT image_id, x, y, v > 0.2 AS m FROM px) SELECT p.image_id, p.x, p.y, (CASE WHEN EXISTS (SELECT 1 FROM b n WHERE n.m AND n.image_id = p.image_id AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1) THEN 1 ELSE 0 END)::DOUBLE AS out FROM b p")
+language("lang_library", "rim(band(0, 0.2, img))", f"WITH {PX}, b AS (SELECT image_id, x, y, v BETWEEN 0 AND 0.2 AS m FROM px), n AS (SELECT p.image_id, p.x, p.y, p.m, bool_and(n.m) AS inner_m FROM b p JOIN b n ON n.image_id = p.image_id AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1 GROUP BY ALL) SELECT image_id, x, y, m AND NOT inner_m AS out FROM n", None)
 language("lang_empty", "emptyB(img > 0.3) || nemptyB(img < (0 - 0.35))", f"WITH {PX} SELECT image_id, NOT bool_or(v > 0.3) OR bool_or(v < -0.35) AS out FROM px GROUP BY image_id", None)
 language("lang_fold_images", "fold max [img, img * 2, 0 - img]", f"WITH {PX} SELECT image_id, x, y, round(greatest(v, v * 2, -v), 6) AS out FROM px")
 language("lang_thresholds", "(0 .<= img) & (img .< 0.1)", f"WITH {PX} SELECT image_id, x, y, v >= 0 AND v < 0.1 AS out FROM px", None)
