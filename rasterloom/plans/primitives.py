@@ -332,7 +332,14 @@ def load(path: Any, engine: Engine) -> Any:
     return list(path) if isinstance(path, (list, tuple)) else files.load(engine.spark, path)
 
 
-primitive("default:dir", 1, 4, "sequence")(lambda root, glob="*", recursive=False, full=False: files.directory(root, glob, bool(recursive), bool(full)))
+@primitive("default:dir", 1, 4, "sequence")
+@needing
+def dir_(root: str, glob: str = "*", recursive: Any = False, full: Any = False, engine: Engine | None = None) -> list[str]:
+    """Sorted names below a folder: a local one, or one of any store that Spark reads if it has a scheme, of which files are listed."""
+    if "://" not in root:
+        return files.directory(root, glob, bool(recursive), bool(full))
+    found = [r.path for r in files.listing(engine.spark, root, glob, bool(recursive)).select("path").collect()]  # type: ignore[union-attr]
+    return sorted(found if full else (x.rpartition("/")[2] for x in found))
 
 
 @primitive("simpleitk:ReadImage", 1, kind="image")

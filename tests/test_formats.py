@@ -209,6 +209,14 @@ def test_long_sequences_keep_the_rules_of_short_ones(spark):
         run('print "x" for i in range(0,200000) do timewaste(i, 1)')
 
 
+def test_folders_of_stores(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.csv"):
+        (tmp_path / name).write_text("x")
+    run = lambda text: Engine(spark, f'print "x" {text}').run()[0][1]
+    assert run(f'dir("file://{tmp_path}", "*.txt")') == run(f'dir("{tmp_path}", "*.txt")') == ["a.txt", "b.txt"]
+    assert [x.rpartition("/")[2] for x in run(f'dir("file://{tmp_path}", "*", false, true)')] == ["a.txt", "b.txt", "c.csv"]
+
+
 def test_overlays_and_models(spark):
     show = lambda text, **held: Engine(spark, text, bindings=held).run()[0][1]
     assert [x["label"] for x in show('print "x" overlay([1, 2, 3])')["layers"]] == ["Base", "Overlay 1", "Overlay 2"]
