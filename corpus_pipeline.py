@@ -61,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the table ``documents``."""
+    """The rows of the last stage over the table ``documents``; what a stage has read is removed once its own rows are written."""
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -69,8 +69,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 PIPELINE = {"pipeline": run}
 PIPELINE_SQL = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
