@@ -40,17 +40,13 @@ TOGETHER, HELD = 1 << 22, 300_000
 Weights = dict[str, np.ndarray]
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text: what ASCII white space leaves."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 def blocks(column: pa.Array) -> Iterator[list[list[bytes]]]:
-    """The words of each text, by blocks of about ``TOGETHER`` bytes."""
+    """The words of each text, which are what ASCII white space leaves, by blocks of about ``TOGETHER`` bytes."""
     held, size = [], 0
     for k, value in enumerate(column):
-        held.append(words_of(value.as_py()))
-        size += value.as_buffer().size
+        raw = value.as_buffer().to_pybytes()
+        held.append(raw.split())
+        size += len(raw)
         if size >= TOGETHER or k == len(column) - 1:
             yield held
             held, size = [], 0
@@ -110,10 +106,25 @@ class Vocabulary:
         return out, own
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` words that occur most often, ties by the word.
+
+    Words are first counted by steps of their frequency, a few hundred rows, which tell the step that
+    the last of them is in; only words from there on are sorted.
+    """
+    step = F.floor(F.log2("n") * 16)
+    need, least = size, -1
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        if need <= 0:
+            break
+        need, least = need - r.words, r.step
+    return counts.where(step >= least).orderBy(F.col("n").desc(), "word").limit(size)
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """From the counts of all words; the driver gets the frequent words, the shared numbers' sums and the counts of neighbouring bytes."""
     counts = checkpointed(counted(docs))
-    often = checkpointed(counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT)).orderBy(F.col("n").desc(), "word").collect()
+    often = most_frequent(counts, FREQUENT).collect()
     numbers = {bytes(r.word): k for k, r in enumerate(often, 1)}
     sums = np.zeros(NUMBERS)
     sums[1 : 1 + len(often)] = [r.n for r in often]
