@@ -1,7 +1,8 @@
 """A corpus pipeline of five training-data operators, from raw documents to token ids.
 
 Each stage takes the session, the documents that the stage before it kept, and the folder of the
-input tables; what it returns is written as Parquet and read again as the next one's documents.
+input tables; what it returns is written as Parquet and read again as the next one's documents. Stages with Python
+workers take rows by batches of some MB, so that executors hold little beside the heap.
 
 Null and empty texts are documents like any other: they are not toxic, are near duplicates of one
 another, hold no secret, and have no tokens. Documents without an id are kept, one of each group of
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import bpe, mixing, secrets, simhash, toxicity
-from rasterloom.llm.common import shared_dir, table
+from rasterloom.llm.common import shared_dir, small_batches, table
 from rasterloom.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,16 +27,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
+    small_batches(spark)
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id, or any if none has one."""
+    small_batches(spark)
     return simhash.representatives(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
+    small_batches(spark)
     return secrets.redact(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
@@ -46,7 +50,8 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids_sha256, decoded_sha256`` of each row that the mix holds."""
-    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), keep=["source"])
+    small_batches(spark)
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), keep=["source"], forget=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -296,11 +296,12 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, keep: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str, keep: list[str] | None = None, forget: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document, and the columns ``keep`` as they were.
 
     Digests are of the decimal ids joined by commas, and of the text decoded from these ids. They
-    are made where the ids are, so that no id leaves its worker.
+    are made where the ids are, so that no id leaves its worker. With ``forget`` a worker remembers
+    words until its task ends only, for those that have other work afterwards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +318,9 @@ def round_trip(docs: DataFrame, vocab_path: str, keep: list[str] | None = None)
                 kept = {c: batch.column(2 + k).slice(start, len(values)) for k, c in enumerate(keep or [])}
                 start += len(values)
                 yield pa.RecordBatch.from_pydict({"doc_id": keys, **kept, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
+        if forget:
+            bpe.words.clear()
+            bpe.runs.clear()
 
     kinds = dict(docs.dtypes)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep or [])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the word patterns see it: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch that a Python worker gets at once, about; a longer row is a batch of its own.
+BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """From now on the session hands Python workers batches of about ``most`` bytes, unless it has a lower limit; no row is cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < held <= most:
+        spark.conf.set(name, str(most))
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have: ``name``, or with ``_`` after it."""
     taken = {c.lower() for c in df.columns}

@@ -126,3 +126,30 @@ def test_pipeline_accounts_for_each_row(spark, tmp_path):
         assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
         if name != "bpe":
             assert stage(spark, docs, f"{tmp_path}/sf").schema.names == docs.columns
+
+
+def test_pipeline_workers_get_small_batches(spark):
+    """24 texts of a million letters were one batch; rows longer than the limit stay whole, and a lower limit stays."""
+    from rasterloom.llm import bpe, common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def run(batches):
+        for batch in batches:
+            yield batch.from_pydict({"rows": [batch.num_rows], "n": [batch.nbytes]})
+
+    docs = spark.createDataFrame([(k, "", "a") for k in range(24)], "doc_id long, text string, source string").coalesce(1)
+    docs = docs.selectExpr("doc_id", "repeat('x', if(doc_id = 5, 9, 1) * 1000000) AS text", "source")
+    try:
+        corpus_pipeline.without_secrets(spark, docs, SF)
+        got = docs.mapInArrow(run, "rows long, n long").collect()
+        assert sum(r.rows for r in got) == 24
+        assert max(r.n for r in got if r.rows > 1) <= common.BATCH + 9_100_000 and max(r.rows for r in got) <= 5
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+    few = docs.limit(0).union(spark.createDataFrame([(1, "one two", "a"), (2, None, "b")], "doc_id long, text string, source string"))
+    path = vocabulary("byte_bpe_50k.json")
+    assert bpe.round_trip(few, path, keep=["source"], forget=True).collect() == bpe.round_trip(few, path, keep=["source"]).collect()
