@@ -37,6 +37,8 @@ ROUNDS, STEP, LEAST_STEP, STEPS = 4, 8192, 256, 48
 SHUFFLED, SCORED = 1 << 17, 1 << 15
 #: Bytes of texts that are handled together; distinct words that a task counts before it passes them on.
 TOGETHER, HELD = 1 << 22, 300_000
+#: Logits that are all this close take one shift, as no exponential of them then vanishes.
+NEAR = 60.0
 Weights = dict[str, np.ndarray]
 
 
@@ -171,18 +173,29 @@ def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
 
 
+def shifted(z: np.ndarray) -> None:
+    """Shift rows of logits in place so that no exponential overflows and no row's sum vanishes: all alike if they are close, else each by its own maximum."""
+    top = z.max(initial=-np.inf)
+    z -= top if top - z.min(initial=np.inf) < NEAR else z.max(1, keepdims=True)
+
+
+def summed(z: np.ndarray) -> np.ndarray:
+    """The sums of short rows, as a product with ones."""
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 def picked(z: np.ndarray, masked: np.ndarray) -> np.ndarray:
     """The log-probability of one entry of each row of logits, which are overwritten."""
-    z -= z.max(1, keepdims=True)
+    shifted(z)
     own = z[np.arange(len(z)), masked]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    return own - np.log(summed(np.exp(z, out=z)))
 
 
 def excess(z: np.ndarray, masked: np.ndarray, n: int) -> np.ndarray:
     """The gradient by the logits, which are overwritten, of the loss summed over rows, divided by ``n``."""
-    z -= z.max(1, keepdims=True)
+    shifted(z)
     np.exp(z, out=z)
-    z *= (1 / (n * z.sum(1, keepdims=True))).astype(z.dtype)
+    z *= (1 / (n * summed(z)))[:, None].astype(z.dtype)
     z[np.arange(len(z)), masked] -= z.dtype.type(1 / n)
     return z
 
@@ -195,7 +208,7 @@ def by_class(masked: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def forward(w: Weights, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Input and hidden layer."""
-    x = w["e"][sides].reshape(len(sides), -1)
+    x = w["e"].take(sides.ravel(), 0).reshape(len(sides), -1)
     h = added(x @ w["h"], w["hb"])
     return x, np.tanh(h, out=h)
 
@@ -238,7 +251,7 @@ def gradient(w: Weights, sides: np.ndarray, masked: np.ndarray) -> Weights:
     at = at[order]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     g["e"] = np.zeros_like(w["e"])
-    g["e"][at[starts]] = np.add.reduceat(dx[order], starts, axis=0)
+    g["e"][at[starts]] = np.add.reduceat(dx.take(order, 0), starts, axis=0)
     return g | {"h": x.T @ dh, "hb": dh.sum(0)}
 
 
