@@ -13,14 +13,14 @@ trains a copy of the network, and the copies are averaged by a shuffle. No text
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,40 +37,48 @@ ROUNDS, STEP, LEAST_STEP, STEPS = 4, 8192, 256, 48
 SHUFFLED, SCORED = 1 << 17, 1 << 15
 #: Bytes of texts that are handled together; distinct words that a task counts before it passes them on.
 TOGETHER, HELD = 1 << 22, 300_000
-#: Logits that are all this close take one shift, as no exponential of them then vanishes.
+#: Windows whose layers are made together, so that they stay in a core's cache.
+CACHED = 1024
+#: Logits that are all this close take one shift, and none if they are this close to zero, as no exponential of them then vanishes.
 NEAR = 60.0
 Weights = dict[str, np.ndarray]
 
 
-def blocks(column: pa.Array) -> Iterator[list[list[bytes]]]:
+def blocks(column: pa.Array) -> Iterator[pa.ListArray]:
     """The words of each text, which are what ASCII white space leaves, by blocks of about ``TOGETHER`` bytes."""
-    held, size = [], 0
-    for k, value in enumerate(column):
-        raw = value.as_buffer().to_pybytes()
-        held.append(raw.split())
-        size += len(raw)
-        if size >= TOGETHER or k == len(column) - 1:
-            yield held
-            held, size = [], 0
+    ends, lo = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(column):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER)) + 1
+        yield words_of(column.slice(lo, hi - lo))
+        lo = hi
+
+
+def words_of(column: pa.Array) -> pa.ListArray:
+    """The words of each text, as the bytes that they are."""
+    parts = pc.ascii_split_whitespace(column)
+    starts, words = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
+    there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty part
+    if not there.all():
+        words, starts = words.filter(pa.array(there)), np.r_[0, np.cumsum(there)][starts]
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.cast(pa.binary()))
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """``word, n``: how often each word occurs in the corpus. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
-
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                held.update(chain.from_iterable(block))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+        held: list[pa.Table] = []
+        size = 0
+        for block in chain.from_iterable(blocks(batch.column(0)) for batch in batches):
+            held.append(pa.Table.from_arrays(block.flatten().value_counts().flatten(), ["word", "n"]))
+            size += len(held[-1])
+            if size > HELD:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches()
+                size = sum(map(len, held))
+        for table in held:
+            yield from table.to_batches()
 
     return texts(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -85,27 +93,33 @@ class Vocabulary:
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """The log-probability of the spelling of words that share numbers."""
-        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        table, space = self.spelling[:256, :256].copy(), 0x20  # no word has a space, which stands for its start and end
+        table[space], table[:, space] = self.spelling[256, :256], self.spelling[:256, 256]
+        raw = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size)
-        before = np.r_[256, raw[:-1]]
-        before[ends[:-1]] = 256
-        sums = np.r_[0.0, np.cumsum(self.spelling[before, raw])]
-        return sums[ends] - sums[ends - size] + self.spelling[raw[ends - 1], 256] + np.log(SHARED)
-
-    def flat(self, block: list[list[bytes]], spell: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of texts with ``SIDE`` zeros around each text, and the spelling's log-probability of each word."""
-        words, size = list(chain.from_iterable(block)), np.fromiter(map(len, block), np.int64, len(block))
-        number = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int16, len(words))
-        rare, own = np.flatnonzero(number == 0), np.zeros(len(words))
+        pairs = table.ravel().take(raw[:-1] * np.int64(256) + raw[1:])
+        return np.add.reduceat(pairs, np.cumsum(size + 1) - size - 1) + np.log(SHARED)
+
+    def flat(self, block: pa.ListArray | list[list[bytes]], spell: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts with ``SIDE`` zeros around each text, and the spelling's log-probability of each word.
+
+        Words are looked up and spelled once in a block, however often they are in it.
+        """
+        if isinstance(block, list):
+            block = pa.array(block, pa.list_(pa.binary()))
+        size, words = block.value_lengths().to_numpy(), block.flatten().dictionary_encode()
+        at, distinct = words.indices.to_numpy(), words.dictionary
+        found = pc.index_in(distinct, value_set=pa.array(list(self.numbers), pa.binary())).fill_null(-1).to_numpy()
+        number, own = np.array([*self.numbers.values(), 0], np.int16)[found], np.zeros(len(found))
+        rare = np.flatnonzero(number == 0)
         if len(rare):
-            others = [*compress(words, (number == 0).tolist())]
+            others = distinct.take(pa.array(rare)).to_numpy(zero_copy_only=False).tolist()
             number[rare] = 1 + FREQUENT + np.fromiter(map(crc32, others), np.int64, len(others)) % SHARED
             if spell:
                 own[rare] = self.spelled(others)
-        out = np.zeros(len(words) + SIDE * (len(block) + 1), np.int16)
-        out[np.arange(len(words)) + SIDE * (1 + np.repeat(np.arange(len(block)), size))] = number
-        return out, own
+        out = np.zeros(len(at) + SIDE * (len(block) + 1), np.int16)
+        out[np.arange(len(at)) + SIDE * (1 + np.repeat(np.arange(len(block)), size))] = number.take(at)
+        return out, own.take(at)
 
 
 def most_frequent(counts: DataFrame, size: int) -> DataFrame:
@@ -170,7 +184,7 @@ def fresh(counts: np.ndarray, seed: int = 3) -> Weights:
 
 def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The numbers on both sides of places."""
-    return flat[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
+    return flat.take(at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1])
 
 
 def shifted(z: np.ndarray) -> None:
@@ -184,19 +198,26 @@ def summed(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], z.dtype)
 
 
-def picked(z: np.ndarray, masked: np.ndarray) -> np.ndarray:
-    """The log-probability of one entry of each row of logits, which are overwritten."""
-    shifted(z)
-    own = z[np.arange(len(z)), masked]
+def places(z: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """Where one entry of each row is in the flat matrix."""
+    return np.arange(0, z.size, z.shape[1]) + masked
+
+
+def picked(z: np.ndarray, masked: np.ndarray, small: bool = False) -> np.ndarray:
+    """The log-probability of one entry of each row of logits, which are overwritten; small ones need no shift."""
+    if not small:
+        shifted(z)
+    own = z.take(places(z, masked))
     return own - np.log(summed(np.exp(z, out=z)))
 
 
-def excess(z: np.ndarray, masked: np.ndarray, n: int) -> np.ndarray:
-    """The gradient by the logits, which are overwritten, of the loss summed over rows, divided by ``n``."""
-    shifted(z)
+def excess(z: np.ndarray, masked: np.ndarray, n: int, small: bool = False) -> np.ndarray:
+    """The gradient by the logits, which are overwritten, of the loss summed over rows, divided by ``n``; small ones need no shift."""
+    if not small:
+        shifted(z)
     np.exp(z, out=z)
     z *= (1 / (n * summed(z)))[:, None].astype(z.dtype)
-    z[np.arange(len(z)), masked] -= z.dtype.type(1 / n)
+    z.reshape(-1)[places(z, masked)] -= z.dtype.type(1 / n)
     return z
 
 
@@ -206,11 +227,23 @@ def by_class(masked: np.ndarray) -> Iterator[tuple[int, slice]]:
     return ((k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi)
 
 
-def forward(w: Weights, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Input and hidden layer."""
-    x = w["e"].take(sides.ravel(), 0).reshape(len(sides), -1)
-    h = added(x @ w["h"], w["hb"])
-    return x, np.tanh(h, out=h)
+def joined(w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Layers for a hidden unit more that is always 1, whose weights are the biases of classes and members, and whether all logits are small.
+
+    No hidden unit is beyond 1, so a logit is at most the sum of its weights' sizes.
+    """
+    h, hb = np.pad(w["h"], ((0, 0), (0, 1))), np.pad(w["hb"], (0, 1))
+    c, m = np.concatenate((w["c"], w["cb"][None])), np.concatenate((w["m"], w["mb"][:, None]), 1)
+    return h, hb, c, m, bool(max(np.abs(c).sum(0).max(), np.abs(m).sum(1).max()) < NEAR)
+
+
+def forward(e: np.ndarray, h: np.ndarray, hb: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input and hidden layer, whose last unit is 1."""
+    x = e.take(sides.ravel(), 0).reshape(len(sides), -1)
+    out = added(x @ h, hb)
+    np.tanh(out, out=out)
+    out[:, -1] = 1
+    return x, out
 
 
 def added(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -219,40 +252,49 @@ def added(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return z
 
 
+def members(hidden: np.ndarray, m: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+    """The logits of the members of each row's class."""
+    z = np.empty((len(hidden), MEMBERS), hidden.dtype)
+    for k, rows in runs:
+        np.matmul(hidden[rows], m[k], out=z[rows])
+    return z
+
+
 def log_probs(w: Weights, sides: np.ndarray, masked: np.ndarray) -> np.ndarray:
     """The log-probability of each masked number given the numbers on both sides."""
-    order = np.argsort(masked, kind="stable")
-    own = masked[order]
-    h = forward(w, sides[order])[1]
-    found = picked(added(h @ w["c"], w["cb"]), own // MEMBERS)
-    for k, rows in by_class(own):
-        found[rows] += picked(added(h[rows] @ w["m"][k], w["mb"][k]), own[rows] % MEMBERS)
-    out = np.empty_like(found)
-    out[order] = found
+    h, hb, c, m, small = joined(w)
+    order, out = np.argsort(masked, kind="stable"), np.empty(len(masked), h.dtype)
+    for lo in range(0, len(order), CACHED):
+        at = order[lo : lo + CACHED]
+        own, hidden = masked.take(at), forward(w["e"], h, hb, sides.take(at, 0))[1]
+        out[at] = picked(hidden @ c, own // MEMBERS, small) + picked(members(hidden, m, [*by_class(own)]), own % MEMBERS, small)
     return out
 
 
 def gradient(w: Weights, sides: np.ndarray, masked: np.ndarray) -> Weights:
     """The gradient of the mean loss over windows."""
+    h, hb, c, m, small = joined(w)
     n, order = len(masked), np.argsort(masked, kind="stable")
-    sides, masked = sides[order], masked[order]
-    x, h = forward(w, sides)
-    dz = excess(added(h @ w["c"], w["cb"]), masked // MEMBERS, n)
-    g = {"c": h.T @ dz, "cb": dz.sum(0), "m": np.zeros_like(w["m"]), "mb": np.zeros_like(w["mb"])}
-    dh = dz @ w["c"].T
-    for k, rows in by_class(masked):
-        dz = excess(added(h[rows] @ w["m"][k], w["mb"][k]), masked[rows] % MEMBERS, n)
-        g["m"][k], g["mb"][k] = h[rows].T @ dz, dz.sum(0)
-        dh[rows] += dz @ w["m"][k].T
-    dh *= 1 - h * h
-    dx = (dh @ w["h"].T).reshape(-1, EMBED)
-    at = sides.ravel()
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][at[starts]] = np.add.reduceat(dx.take(order, 0), starts, axis=0)
-    return g | {"h": x.T @ dh, "hb": dh.sum(0)}
+    sides, masked = sides.take(order, 0), masked.take(order)
+    gh, ghb, gc, gm = map(np.zeros_like, (h, hb, c, m))
+    dx = np.empty((n, len(h)), h.dtype)
+    for lo in range(0, n, CACHED):
+        own = masked[lo : lo + CACHED]
+        x, hidden = forward(w["e"], h, hb, sides[lo : lo + CACHED])
+        dz = excess(hidden @ c, own // MEMBERS, n, small)
+        gc += hidden.T @ dz
+        dh, runs = dz @ c.T, [*by_class(own)]
+        dz = excess(members(hidden, m, runs), own % MEMBERS, n, small)
+        for k, rows in runs:
+            gm[k] += hidden[rows].T @ dz[rows]
+            dh[rows] += dz[rows] @ m[k].T
+        dh *= 1 - hidden * hidden
+        np.matmul(dh, h.T, out=dx[lo : lo + CACHED])
+        gh += x.T @ dh
+        ghb += np.ones(len(dh), dh.dtype) @ dh
+    at, dx = sides.ravel().astype(np.intp), dx.reshape(-1, EMBED)
+    e = [np.bincount(at, dx[:, k], NUMBERS) for k in range(EMBED)]
+    return {"e": np.array(e).T.astype(h.dtype), "h": gh[:, :-1], "hb": ghb[:-1], "c": gc[:-1], "cb": gc[-1], "m": gm[:, :-1], "mb": gm[:, -1]}
 
 
 class Trainer:
@@ -269,7 +311,7 @@ class Trainer:
         every = np.flatnonzero(flat)
         for lo in range(0, len(every), SHUFFLED):
             at = every[lo : lo + SHUFFLED]
-            self.held.append((around(flat, at), flat[at]))
+            self.held.append((flat[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0] + SIDE))
             self.size += len(at)
             if self.size >= SHUFFLED:
                 self.flush()
@@ -278,18 +320,27 @@ class Trainer:
         """Step over all that is held."""
         if not self.size:
             return
-        sides, masked = (np.concatenate(x) for x in zip(*self.held))
-        order = self.rng.permutation(len(masked))
-        step = STEP if len(masked) >= SHUFFLED else min(STEP, max(LEAST_STEP, len(masked) // STEPS))
-        for part in np.array_split(order, -(-len(order) // step)):
+        flat, starts = np.concatenate([x for x, _ in self.held]), np.cumsum([0, *(len(x) for x, _ in self.held)])
+        at = np.concatenate([at + start for (_, at), start in zip(self.held, starts)])
+        step = STEP if len(at) >= SHUFFLED else min(STEP, max(LEAST_STEP, len(at) // STEPS))
+        for part in np.array_split(at[self.rng.permutation(len(at))], -(-len(at) // step)):
             self.t += 1
-            for k, g in gradient(self.w, sides[part], masked[part]).items():
-                self.one[k] += np.float32(0.1) * (g - self.one[k])
-                self.two[k] += np.float32(0.02) * (g * g - self.two[k])
-                self.w[k] -= np.float32(self.rate / (1 - 0.9**self.t)) * self.one[k] / (np.sqrt(self.two[k] / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
-        self.n += len(masked)
+            self.step(gradient(self.w, around(flat, part), flat.take(part)))
+        self.n += len(at)
         self.held, self.size = [], 0
 
+    def step(self, g: Weights) -> None:
+        """A step by a gradient."""
+        rate, two = np.float32(self.rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.98**self.t))
+        for k, v in g.items():
+            self.one[k] += np.float32(0.1) * (v - self.one[k])
+            self.two[k] += np.float32(0.02) * (v * v - self.two[k])
+            by = np.sqrt(self.two[k] * two)
+            by += np.float32(1e-6)
+            np.divide(self.one[k], by, out=by)
+            by *= rate
+            self.w[k] -= by
+
 
 def fit(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Train on all windows of the corpus: each round takes the documents that a hash deals to it.
@@ -339,7 +390,7 @@ def scored(docs: DataFrame, known: Vocabulary, w: Weights) -> DataFrame:
                 for lo in range(0, len(every), SCORED):
                     at = every[lo : lo + SCORED]
                     own[lo : lo + SCORED] += log_probs(w, around(flat, at), flat[at])
-                n = np.array([len(words) for words in block], np.int64)
+                n = block.value_lengths().to_numpy().astype(np.int64)
                 sums, ends = np.r_[0.0, np.cumsum(own)], np.cumsum(n)
                 total = np.where(n > 0, sums[ends] - sums[ends - n], 0.0)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(n)), "n_tokens": pa.array(n), "log_prob": pa.array(total), "bits_per_token": pa.array(-total / np.maximum(n, 1) / np.log(2) + 0.0)})

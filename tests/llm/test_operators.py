@@ -906,3 +906,70 @@ def test_lm_logits_far_apart():
     wanted = np.exp(exact)
     wanted[np.arange(3), own] -= 1
     assert lm.excess(z.copy(), own, 1) == pytest.approx(wanted, abs=1e-5)
+
+
+def test_lm_words_of_odd_texts():
+    """As bytes.split() leaves them, also from bytes that are no text, from slices, and by blocks."""
+    raw = [b"  a b ", b"", b"   ", b" x\t\n\x0b\x0c\r y\x1cz\x1f w\xc2\x85q\xc2\xa0r\xe2\x80\x83s\x00t", b"\xff\xfe \xe2b", b"a", b"a  b" * 50, b""]
+    ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+    column = pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(raw)))
+    for lo, n in ((0, len(raw)), (1, 2), (2, 4), (0, 0)):
+        assert lm.words_of(column.slice(lo, n)).to_pylist() == [t.split() for t in raw[lo : lo + n]]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "TOGETHER", 8)
+        assert [b.to_pylist() for b in lm.blocks(column.slice(1))] == [[t.split() for t in x] for x in (raw[1:4], raw[4:7], raw[7:])]
+
+
+def test_lm_looks_each_word_up_once_in_a_block(monkeypatch):
+    r = random.Random(4)
+    words = [f"w{k}".encode() for k in range(50)]
+    spelling = np.log(np.random.default_rng(3).dirichlet(np.ones(257), 257))
+    known = lm.Vocabulary({t: k for k, t in enumerate(words[:9], 1)}, np.ones(lm.NUMBERS), spelling)
+    block = [[r.choice(words) for _ in range(n)] for n in (400, 0, 1, 900)]
+    asked = []
+    monkeypatch.setattr(lm, "crc32", lambda t: asked.append(t) or zlib.crc32(t))
+    flat, own = known.flat(block)
+    every = [t for text in block for t in text]
+    assert sorted(asked) == sorted({*every} - {*words[:9]})
+    number = [known.numbers.get(t, 0) or 1 + lm.FREQUENT + zlib.crc32(t) % lm.SHARED for t in every]
+    assert flat.tolist() == [0, 0, 0, *number[:400], 0, 0, 0, 0, 0, 0, number[400], 0, 0, 0, *number[401:], 0, 0, 0]
+    spelled = {t: sum(spelling[a, b] for a, b in zip([256, *t], [*t, 256])) + math.log(lm.SHARED) for t in words[9:]}
+    assert own == pytest.approx([spelled.get(t, 0.0) for t in every])
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_lm_parts_of_a_step_add_up(scale):
+    """More windows than are handled at once, with logits that need a shift of their own and such that need none."""
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(float) for k, v in lm.fresh(np.arange(lm.NUMBERS, 0, -1.0)).items()}
+    w |= {"c": w["c"] * scale * 5, "m": w["m"] * scale * 5}
+    assert lm.joined(w)[-1] == (scale == 1)
+    numbers = np.minimum(rng.zipf(1.2, (2 * lm.CACHED + 77, 7)), lm.NUMBERS - 1).astype(np.int16)
+    sides, masked = np.ascontiguousarray(numbers[:, 1:]), numbers[:, 0].copy()
+    plain = plain_gradient(w, sides, masked)
+    for k, g in lm.gradient(w, sides, masked).items():
+        assert np.allclose(g, plain[k], rtol=1e-9, atol=1e-12), k
+    h = np.tanh(w["e"][sides].reshape(len(sides), -1) @ w["h"] + w["hb"])
+    of, member = masked // lm.MEMBERS, masked % lm.MEMBERS
+    found = 0
+    for z, own in ((h @ w["c"] + w["cb"], of), (np.einsum("nh,nhm->nm", h, w["m"][of]) + w["mb"][of], member)):
+        top = z.max(1)
+        found = found + z[np.arange(len(z)), own] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    assert lm.log_probs(w, sides, masked) == pytest.approx(found)
+
+
+def test_lm_counts_are_merged_past_what_is_held(spark, docs, monkeypatch):
+    whole = {bytes(r.word): r.n for r in lm.counted(docs).collect()}
+    n = {}
+    for _, text, *_ in ROWS:
+        for t in tokens(text):
+            n[t.encode()] = n.get(t.encode(), 0) + 1
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        for held in (5, 200):  # passed on at once, and merged before
+            monkeypatch.setattr(lm, "HELD", held)
+            assert {bytes(r.word): r.n for r in lm.counted(docs).collect()} == whole == n
+    finally:
+        spark.conf.set(name, before)
